@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from floodsift.operators.ordering import positions, scan
+from floodsift.session import stage
 
 DEFAULT_TIMESTAMP = "idx * 0.00005"
 
@@ -34,9 +35,8 @@ def compare_captures(left: DataFrame, right: DataFrame) -> DataFrame:
     order = ["ts", "packet_id"]
 
     def ordered(frames: DataFrame, digest: str) -> DataFrame:
-        digests = frames.select("link_id", *order, F.sha2("frame", 256).alias(digest))
-        places = positions(frames, ["link_id"], order, "ordinal")
-        return digests.join(places, ["link_id", *order]).select("link_id", "ordinal", digest)
+        digests = stage(frames.select("link_id", *order, F.sha2("frame", 256).alias(digest)))
+        return positions(digests, ["link_id"], order, "ordinal").drop(*order)
 
     paired = ordered(left, "left").join(ordered(right, "right"), ["link_id", "ordinal"], "full")
     return paired.groupBy("link_id").agg(

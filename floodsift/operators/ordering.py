@@ -75,16 +75,14 @@ def _last_total(value: str, order: str) -> Column:
 def positions(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Zero-based position of each row within ``by`` in the order of ``order``.
 
-    ``[*by, *order]`` must identify a row; only these columns are returned with
-    the position. Rows are range-partitioned on all of them, so a link or an
-    instant that holds most of the rows is spread over many tasks. The placed
-    keys are settled because range bounds come from a sample: a second
-    evaluation could cut elsewhere.
+    ``[*by, *order]`` must identify a row. Rows are range-partitioned on all of
+    these columns, so a link or an instant that holds most of the rows is spread
+    over many tasks. The placed rows are settled, so ``df`` should be narrow: range
+    bounds come from a sample and a second evaluation could cut elsewhere.
     """
     keys = [*by, *order]
     placed = settle(
-        df.select(*keys)
-        .repartitionByRange(*keys)
+        df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_slice", F.shiftright("_at", PARTITION_BITS))
@@ -96,7 +94,7 @@ def positions(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str)
     starts = slices.withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
     starts = measure(starts, weight="_rows")
     return attach(placed, starts, [*by, "_slice"], spread="_at").select(
-        *keys, (F.col("_start") + F.col("_at") - F.col("_first")).alias(name)
+        *df.columns, (F.col("_start") + F.col("_at") - F.col("_first")).alias(name)
     )
 
 

@@ -61,8 +61,14 @@ def thresholds(observed: DataFrame, volume_threshold: int | None) -> DataFrame:
     return attach(observed, measure(means, weight="windows"), ["link_id"], spread="w")
 
 
-def window_state(observed: DataFrame, volume_threshold: int | None) -> DataFrame:
-    """Add ``over``, ``mode`` (true = QUERY) and ``generation`` to observed windows."""
+def window_state(
+    observed: DataFrame, volume_threshold: int | None, earlier: Lookup | None = None
+) -> DataFrame:
+    """Add ``over``, ``mode`` (true = QUERY) and ``generation`` to observed windows.
+
+    ``earlier`` continues a series: per link the last observed window before
+    (``earlier_w``, ``earlier_over``) and the count of those over (``earlier_overs``).
+    """
     flagged = thresholds(observed, volume_threshold).withColumn(
         "over", F.col("volume") > F.col("threshold")
     )
@@ -73,6 +79,15 @@ def window_state(observed: DataFrame, volume_threshold: int | None) -> DataFrame
         sums={"overs": F.col("over").cast("bigint")},
         lasts={"previous": F.struct("w", "over")},
     )
+    if earlier is not None:
+        scanned = attach(scanned, earlier, ["link_id"], spread="w")
+        before = F.struct(F.col("earlier_w").alias("w"), F.col("earlier_over").alias("over"))
+        scanned = scanned.withColumns(
+            {
+                "overs": F.col("overs") + F.coalesce("earlier_overs", F.lit(0)),
+                "previous": F.coalesce("previous", F.when(F.col("earlier_w").isNotNull(), before)),
+            }
+        ).drop("earlier_w", "earlier_over", "earlier_overs")
     mode = (F.col("previous.w") == F.col("w") - 1) & F.col("previous.over")
     return scanned.withColumns(
         {"mode": F.coalesce(mode, F.lit(False)), "generation": F.col("w") - F.col("overs")}

@@ -15,6 +15,8 @@ from floodsift.plans import inputs
 from floodsift.session import settle, shared_folder
 from floodsift.sources.frames import in_time_order, read_frames, write_frames
 from floodsift.sources.traffic import generate_traffic
+from floodsift.streaming.rolling import RollingFilter
+from floodsift.streaming.volume import stream_volume
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -341,6 +343,41 @@ def expand_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.expand_decisions(decisions, packets)
 
 
+# --- streams -------------------------------------------------------------------------
+
+
+def _overall(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """First packet time, and the mean volume of a window over both links and 30 days."""
+    windows = 2 * 30 * 24 * inputs.HOUR_US // inputs.SETTINGS.window_us
+    row = inputs.packets(spark, sf_dir).agg(
+        F.min(micros(F.col("ts"))), F.expr(f"sum(total_length) div {windows}")
+    ).first()
+    return row[0], row[1]
+
+
+def stream_window_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that the watermark has closed by the end of the stream."""
+    anchor_us, threshold = _overall(spark, sf_dir)
+    found = stream_volume(
+        inputs.packet_stream(spark, sf_dir), anchor_us, inputs.SETTINGS.window_us, threshold
+    )
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    run = found.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+    run.option("checkpointLocation", f"{folder}/log").start(f"{folder}/out").awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/out")
+
+
+def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all windows that closed before the end of the stream."""
+    _, threshold = _overall(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rolling = RollingFilter(folder, replace(inputs.SETTINGS, volume_threshold=threshold))
+    run = inputs.packet_stream(spark, sf_dir).writeStream.foreachBatch(rolling)
+    run = run.option("checkpointLocation", f"{folder}/log").trigger(availableNow=True)
+    run.start().awaitTermination()
+    return rolling.verdicts(spark).select(*controller.VERDICT)
+
+
 QUERIES: dict[str, Query] = {
     "frames_scan": frames_scan,
     "frames_roundtrip": frames_roundtrip,
@@ -389,4 +426,6 @@ QUERIES: dict[str, Query] = {
     "retimestamp": retimestamp,
     "compare_captures": compare_captures,
     "expand_decisions": expand_decisions,
+    "stream_window_volume": stream_window_volume,
+    "stream_verdicts": stream_verdicts,
 }

@@ -113,8 +113,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _as_instant(ts: str) -> F.Column:
     """A zone-free timestamp taken as UTC, whatever the session's time zone."""
-    return F.timestamp_micros(
-        F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
+    return F.expr(
+        f"""timestamp_micros(unix_date(CAST({ts} AS DATE)) * 86400000000L + hour({ts}) * 3600000000L
+        + minute({ts}) * 60000000L + CAST(extract(SECOND FROM {ts}) * 1000000 AS BIGINT))"""
     )
 
 
@@ -126,6 +127,14 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_events(spark, sf_dir, PACKETS).withColumn("ts", _as_instant("ts"))
 
 
+def packet_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets again, as a stream of the files of ``events``."""
+    schema = table(spark, sf_dir, "events").schema
+    # A pattern, because the file stream takes a plain path for a folder.
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events[.]parquet")
+    return spark.sql(PACKETS, events=events).withColumn("ts", _as_instant("ts"))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = spark.sql(FRAMES, packets=packets(spark, sf_dir))
     return made.select("link_id", "packet_id", "ts", F.unhex("frame_hex").alias("frame"))

@@ -94,7 +94,13 @@ DECODED = (*FRAME_PARTS, ETH, IP, L4, CLASSED)
 # --- windows ---------------------------------------------------------------------------
 
 
-def _windows(source: str, window_us: int = WINDOW_US) -> str:
+LINK_MEAN = "SELECT link_id, (sum(volume) // count(*))::BIGINT AS threshold FROM vol GROUP BY link_id"
+# Both links over 30 days.
+OVERALL_MEAN = f"""SELECT link_id, (SELECT sum(total_length) // {2 * 30 * 24 * inputs.HOUR_US // WINDOW_US}
+  FROM packets)::BIGINT AS threshold FROM vol GROUP BY link_id"""
+
+
+def _windows(source: str, window_us: int = WINDOW_US, threshold: str = LINK_MEAN) -> str:
     """From ``source`` (link_id, packet_id, ts, features) to the state of every window."""
     return f"""pw AS (
   SELECT p.*, ({_instant("p.ts")} - a.first_us) // {window_us} AS w
@@ -108,8 +114,7 @@ vol AS (
   FROM spine s LEFT JOIN pw ON pw.link_id = s.link_id AND pw.w = s.w GROUP BY s.link_id, s.w),
 flagged AS (
   SELECT link_id, w, volume, volume > m.threshold AS is_over
-  FROM vol JOIN (SELECT link_id, (sum(volume) // count(*))::BIGINT AS threshold
-                 FROM vol GROUP BY link_id) m USING (link_id)),
+  FROM vol JOIN ({threshold}) m USING (link_id)),
 state AS (
   SELECT *, coalesce(lag(is_over) OVER win, false) AS mode,
     coalesce(sum(CASE WHEN is_over THEN 0 ELSE 1 END)
@@ -596,6 +601,27 @@ FROM verdicts GROUP BY link_id, w, mode""",
 FROM (SELECT *, {PACKET_NO} AS idx FROM packets)""",
     ),
     "compare_captures": _comparison(*FILTERED, left="frames", right="kept"),
+    "stream_window_volume": _with(
+        PACKETS,
+        f"edges AS (SELECT min({_instant()}) AS first_us, max({_instant()}) AS last_us FROM packets)",
+        final=f"""SELECT link_id, w, volume, volume > (SELECT threshold FROM ({OVERALL_MEAN.replace("vol", "packets")}) LIMIT 1) AS "over"
+FROM (SELECT link_id, ({_instant()} - first_us) // {WINDOW_US} AS w, sum(total_length)::BIGINT AS volume
+      FROM packets, edges GROUP BY ALL), edges
+WHERE first_us + (w + 1) * {WINDOW_US} <= last_us""",
+    ),
+    "stream_verdicts": _with(
+        PACKETS,
+        _windows("packets", threshold=OVERALL_MEAN),
+        KEYED,
+        ROWED,
+        JUDGED,
+        _verdicts(),
+        f"""closed AS (
+  SELECT link_id, (max({_instant()}) OVER () - min({_instant()}) OVER (PARTITION BY link_id)) // {WINDOW_US} - 1
+    AS line FROM packets)""",
+        final="""SELECT v.* FROM verdicts v JOIN (SELECT DISTINCT link_id, line FROM closed) c USING (link_id)
+WHERE v.w <= c.line""",
+    ),
     "expand_decisions": _with(
         PACKETS,
         f"decisions AS ({inputs.DECISIONS.format(events='events')})",

@@ -9,6 +9,7 @@ from floodsift.functions.headers import PROTOCOLS
 from floodsift.schemas import FLOWS
 
 CHUNK_BITS = 12
+TASK_PACKETS = 1 << 18
 # A packet number is second, flow and position; its order is the order of generation.
 FLOW_BITS = 24
 POSITION_BITS = 24
@@ -86,11 +87,14 @@ def generate_traffic(
         {"second": second, "pps": F.when(pps < 1 << POSITION_BITS, pps).otherwise(too_fast)}
     ).where("pps > 0 AND (seconds IS NULL OR array_contains(seconds, second))")
 
+    # Chunks are tiny and their packets are not: spread them by the packets they make.
+    total = active.agg(F.sum("pps")).first()[0] or 0
+    tasks = max(flows.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_PACKETS))
     size = 1 << CHUNK_BITS
     zero = F.lit(0).cast("bigint")
     chunks = active.withColumn(
         "chunk", F.explode(F.sequence(zero, F.shiftright(F.col("pps") - 1, CHUNK_BITS)))
-    ).repartition("link_id", "flow_id", "second", "chunk")
+    ).repartition(tasks, "link_id", "flow_id", "second", "chunk")
     first = F.col("chunk") * size
     packets = chunks.withColumn(
         "n", F.explode(F.sequence(first, F.least(first + size, F.col("pps")) - 1))
