@@ -27,20 +27,25 @@ def decode(frames: DataFrame) -> DataFrame:
     stays above the decoding instead of being pushed below it, which would write
     out every offset again and again in one expression.
     """
+    h, size = F.col("_head"), F.col("_size")
     d = frames.withColumns({"_head": head(F.col("frame")), "_size": F.length("frame")})
-    d = d.withColumns(_prefixed("eth", headers.ethernet(F.col("_head"), F.col("_size"))))
-    is_ip = ~F.col("eth_error") & (F.col("eth_ethertype") == headers.ETHERTYPES["IPV4"])
-    ip = headers.ipv4(F.col("_head"), F.col("_size"), F.col("eth_header_len"))
-    d = d.withColumns(_prefixed("ip", ip, is_ip))
-    d = d.withColumn("l4_offset", F.col("eth_header_len") + F.col("ip_header_len"))
-    good = F.coalesce(~F.col("ip_error"), F.lit(False))
+    d = d.withColumns(_prefixed("eth", headers.ethernet(h, size)))
+    l3 = F.col("eth_header_len")
+    is_ip = ~F.col("eth_error") & headers.carries(h, l3 - 2, headers.ETHERTYPES["IPV4"], 2)
+    d = d.withColumn("_is_ip", is_ip)
+    d = d.withColumns(_prefixed("ip", headers.ipv4(h, size, l3), F.col("_is_ip")))
+    good = F.col("_is_ip") & ~F.col("ip_error")
+    gates = {
+        f"_is_{name}": good & headers.carries(h, l3 + 9, headers.PROTOCOLS[name.upper()], 1)
+        for name in ("tcp", "udp")
+    }
+    d = d.withColumns({"l4_offset": l3 + F.col("ip_header_len"), **gates})
     for name, fields in (("tcp", headers.tcp), ("udp", headers.udp)):
-        gate = good & (F.col("ip_protocol") == headers.PROTOCOLS[name.upper()])
-        layer = fields(F.col("_head"), F.col("_size"), F.col("l4_offset"))
-        d = d.withColumns(_prefixed(name, layer, gate))
+        layer = fields(h, size, F.col("l4_offset"))
+        d = d.withColumns(_prefixed(name, layer, F.col(f"_is_{name}")))
     flags = [f"{layer}_error" for layer in ("eth", "ip", "tcp", "udp")]
     checked = F.struct(*flags, _class().alias("packet_class"))
-    fields = [c for c in d.columns if c not in ("_head", "_size", *flags)]
+    fields = [c for c in d.columns if not c.startswith("_") and c not in flags]
     return d.select(*fields, F.inline(F.array(checked)))
 
 

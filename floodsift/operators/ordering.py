@@ -99,12 +99,17 @@ def positions(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str)
 
 
 def spine(bounds: DataFrame, by: Sequence[str], last: str, name: str) -> DataFrame:
-    """Rows ``0..last`` for each row of ``bounds``, made slice by slice."""
+    """Rows ``0..last`` for each row of ``bounds``, made slice by slice.
+
+    Slices are spread over a fixed number of tasks: they are tiny themselves, so
+    that adaptive coalescing would put them, and all their rows, into one.
+    """
     size = 1 << SPINE_BITS
+    tasks = int(bounds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slices = bounds.withColumn(
         "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.shiftright(last, SPINE_BITS)))
     )
     start = F.col("_slice") * size
-    return slices.select(
+    return slices.repartition(tasks, *by, "_slice").select(
         *by, F.explode(F.sequence(start, F.least(F.col(last), start + size - 1))).alias(name)
     )

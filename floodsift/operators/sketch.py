@@ -60,6 +60,15 @@ def estimate(
     )
 
 
+def estimate_own(counted: DataFrame, by: Sequence[str], shape: SketchShape) -> DataFrame:
+    """Estimates of just the residues that were counted; needs no join to the counters."""
+    counter = Window.partitionBy(*by, "row", "bucket")
+    cells = _rows(counted, shape).withColumn(
+        "counter", wrap_counter(F.sum("cnt").over(counter), shape.counter_bits)
+    )
+    return cells.groupBy(*by, "residue").agg(F.min("counter").alias("estimate"))
+
+
 def hash_bucket_counts(keys: DataFrame, residue: Column, row: int, shape: SketchShape) -> DataFrame:
     """One hash row: how many rows of ``keys`` fall into each bucket."""
     buckets = row_buckets(residue, shape)[row]["bucket"]
@@ -94,9 +103,7 @@ def heavy_hitters(
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
     counted = keys.groupBy(*group, "residue").agg(F.sum("cnt").alias("cnt"))
-    estimates = estimate(
-        build(counted, group, shape), counted.drop("cnt"), group, shape
-    ).where(F.col("estimate") > above)
+    estimates = estimate_own(counted, group, shape).where(F.col("estimate") > above)
     order = Window.partitionBy(*group).orderBy(F.desc("estimate"), "key_low", "key_high")
     return (
         keys.join(estimates, [*group, "residue"])
