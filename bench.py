@@ -13,6 +13,7 @@ import time
 from pyspark.sql import SparkSession
 
 from floodsift.plans.catalog import QUERIES
+from floodsift.session import RECOMMENDED
 
 
 def shuffle_bytes(spark: SparkSession) -> int:
@@ -32,7 +33,7 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("floodsift-bench")
         .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.sql.session.timeZone", "UTC")
+        .config(map=RECOMMENDED)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -22,7 +22,7 @@ def zero_pad(data: Column, size: Column | int) -> Column:
     return F.rpad(data, as_column(size), _zero())
 
 
-def head(frame: Column) -> Column:
+def padded_head(frame: Column) -> Column:
     """The header part of a frame; bytes past the end of a short frame read as zero."""
     return zero_pad(F.substring(frame, 1, HEAD_BYTES), HEAD_BYTES)
 

@@ -1,6 +1,6 @@
 """Header fields by layer.
 
-Each function takes the zero-padded head of a frame (:func:`binary.head`), the
+Each function takes the zero-padded head of a frame (:func:`binary.padded_head`), the
 true frame size and the byte offset of the layer, and returns named columns.
 They are plain expressions, so a query that needs one field evaluates one field.
 """
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from floodsift.functions.binary import as_column, be, be_int, cut
+from floodsift.functions.binary import as_column, be, be_int, cut, padded_head
 
 # EtherTypes, IP protocol numbers, and the codes of the next layer.
 ETHERTYPE_VLAN = 0x8100
@@ -97,10 +97,30 @@ def udp(head: Column, size: Column, offset: Column | int) -> Fields:
     }
 
 
-def as_struct(fields: Fields) -> Column:
+def _struct(fields: Fields) -> Column:
     return F.struct(*[column.alias(name) for name, column in fields.items()])
 
 
+def decode_ethernet(frame: Column) -> Column:
+    """The Ethernet layer of a frame as a STRUCT."""
+    return _struct(ethernet(padded_head(frame), F.length(frame)))
+
+
+def decode_ipv4(frame: Column, offset: Column | int = 14) -> Column:
+    """An IPv4 header at ``offset`` as a STRUCT."""
+    return _struct(ipv4(padded_head(frame), F.length(frame), offset))
+
+
+def decode_tcp(frame: Column, offset: Column | int) -> Column:
+    """A TCP header at ``offset`` as a STRUCT."""
+    return _struct(tcp(padded_head(frame), F.length(frame), offset))
+
+
+def decode_udp(frame: Column, offset: Column | int) -> Column:
+    """A UDP header at ``offset`` as a STRUCT."""
+    return _struct(udp(padded_head(frame), F.length(frame), offset))
+
+
 def _class_of(value: Column, numbers: dict[str, int]) -> Column:
     names = F.lit("UNKNOWN")
     for name, number in numbers.items():

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from floodsift.functions.hashing import DIMENSIONS, SketchShape
 from floodsift.operators.decode import features, with_features
 from floodsift.operators.lookup import BROADCAST_ROWS, Lookup, attach, measure
-from floodsift.operators.sketch import build, estimate, packet_residues, residue_counts
+from floodsift.operators.sketch import estimate, packet_residues, residue_counts
 from floodsift.operators.volume import SECOND, link_anchors, volumes, window_state, with_window
 from floodsift.session import settle, stage
 
@@ -50,21 +50,25 @@ def tag(packets: DataFrame, anchors: Lookup, state: Lookup, settings: FilterSett
     return attach(windowed, state, ["link_id", "w"], "packet_id", settings.broadcast_rows)
 
 
+def asked_residues(counts: DataFrame) -> DataFrame:
+    """Packets of QUERY windows per residue, under the generation they ask."""
+    return counts.where("mode").select(
+        "link_id",
+        (F.col("generation") - 1).alias("generation"),
+        "dim",
+        "residue",
+        F.col("cnt").alias("packets"),
+    )
+
+
 def estimates_for(counts: DataFrame, shape: SketchShape) -> DataFrame:
     """Estimate per probed generation, dimension and residue.
 
     ``counts`` are the residue counts of learnt windows (``mode`` false) and of
     QUERY windows (``mode`` true). Generation ``g`` is asked by windows of ``g + 1``.
     """
-    by = ["link_id", "generation", "dim"]
     learnt = counts.where(~F.col("mode"))
-    probes = (
-        counts.where("mode")
-        .withColumn("generation", F.col("generation") - 1)
-        .groupBy(*by, "residue")
-        .agg(F.sum("cnt").alias("packets"))
-    )
-    return estimate(build(learnt, by, shape), probes, by, shape)
+    return estimate(learnt, asked_residues(counts), ["link_id", "generation", "dim"], shape)
 
 
 def learn(packets: DataFrame, settings: FilterSettings) -> Knowledge:

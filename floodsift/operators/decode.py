@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from floodsift.functions import headers
-from floodsift.functions.binary import head
+from floodsift.functions.binary import padded_head
 
 FEATURES = ("source_ip", "destination_ip", "destination_port", "total_length")
 
@@ -28,7 +28,7 @@ def decode(frames: DataFrame) -> DataFrame:
     out every offset again and again in one expression.
     """
     h, size = F.col("_head"), F.col("_size")
-    d = frames.withColumns({"_head": head(F.col("frame")), "_size": F.length("frame")})
+    d = frames.withColumns({"_head": padded_head(F.col("frame")), "_size": F.length("frame")})
     d = d.withColumns(_prefixed("eth", headers.ethernet(h, size)))
     l3 = F.col("eth_header_len")
     is_ip = ~F.col("eth_error") & headers.carries(h, l3 - 2, headers.ETHERTYPES["IPV4"], 2)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from floodsift.functions.hashing import SketchShape, residue, row_buckets, wrap_counter
 from floodsift.operators.lookup import attach, measure
 from floodsift.operators.ordering import scan
-from floodsift.operators.sketch import build, estimate
+from floodsift.operators.sketch import estimate
 
 
 def _is(kind: str) -> Column:
@@ -69,7 +69,7 @@ def rolling_cms_replay(ops: DataFrame, shape: SketchShape) -> DataFrame:
     )
     queries = tagged.where("querying").withColumn("generation", F.col("generation") - 1)
     probes = queries.groupBy(*by, "residue").agg(F.count(F.lit(1)).alias("queries"))
-    answers = estimate(build(inserts, by, shape), probes, by, shape)
+    answers = estimate(inserts, probes, by, shape)
     return attach(
         queries, measure(answers, weight="queries"), [*by, "residue"], spread="seq"
     ).select("sketch_id", "seq", F.col("estimate").alias("count"))

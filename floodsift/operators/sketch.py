@@ -43,10 +43,10 @@ def build(counted: DataFrame, by: Sequence[str], shape: SketchShape) -> DataFram
     )
 
 
-def estimate(
+def probe(
     sketch: DataFrame, probes: DataFrame, by: Sequence[str], shape: SketchShape
 ) -> DataFrame:
-    """Smallest counter over the rows for each probed residue, 0 where never counted.
+    """Ask a stored sketch: smallest counter over the rows per residue, 0 where never counted.
 
     ``probes`` is unique on ``by`` and ``residue``; its other columns are kept.
     """
@@ -60,13 +60,34 @@ def estimate(
     )
 
 
-def estimate_own(counted: DataFrame, by: Sequence[str], shape: SketchShape) -> DataFrame:
-    """Estimates of just the residues that were counted; needs no join to the counters."""
-    counter = Window.partitionBy(*by, "row", "bucket")
-    cells = _rows(counted, shape).withColumn(
-        "counter", wrap_counter(F.sum("cnt").over(counter), shape.counter_bits)
+def estimate(
+    counted: DataFrame, probes: DataFrame, by: Sequence[str], shape: SketchShape
+) -> DataFrame:
+    """The answers of :func:`build` and :func:`probe` together, with one shuffle.
+
+    Counted and probed residues of a group meet in one task, where the hash rows
+    are laid out, summed and compared; neither the rows nor the counters travel.
+    A group has at most 65,521 residues on either side.
+    """
+    keys = [*by, "residue"]
+    rest = [c for c in probes.columns if c not in keys]
+    learnt = counted.select(*keys, F.col("cnt").alias("_cnt"), F.lit(False).alias("_asked"))
+    asked = probes.withColumn("_asked", F.lit(True))
+    met = asked.unionByName(learnt, allowMissingColumns=True).repartition(*by)
+    counter = F.sum("_cnt").over(Window.partitionBy(*by, "row", "bucket"))
+    found = _rows(met, shape).withColumn("_counter", wrap_counter(counter, shape.counter_bits))
+    return found.where("_asked").groupBy(*keys).agg(
+        F.min(F.coalesce("_counter", F.lit(0).cast("bigint"))).alias("estimate"),
+        *[F.first(c).alias(c) for c in rest],
     )
-    return cells.groupBy(*by, "residue").agg(F.min("counter").alias("estimate"))
+
+
+def estimate_own(counted: DataFrame, by: Sequence[str], shape: SketchShape) -> DataFrame:
+    """:func:`estimate` where the counted residues are the probed ones."""
+    counter = F.sum("cnt").over(Window.partitionBy(*by, "row", "bucket"))
+    cells = _rows(counted.repartition(*by), shape)
+    cells = cells.withColumn("_counter", wrap_counter(counter, shape.counter_bits))
+    return cells.groupBy(*by, "residue").agg(F.min("_counter").alias("estimate"))
 
 
 def hash_bucket_counts(keys: DataFrame, residue: Column, row: int, shape: SketchShape) -> DataFrame:

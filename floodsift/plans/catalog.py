@@ -217,8 +217,11 @@ def cms_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cms_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, counts = _learnt(spark, sf_dir)
-    return controller.estimates_for(counts, inputs.SHAPE).drop("packets")
+    learnt, counts = _learnt(spark, sf_dir)
+    by = ["link_id", "generation", "dim"]
+    sketches = sketch.build(learnt, by, inputs.SHAPE)
+    probes = controller.asked_residues(counts).drop("packets")
+    return sketch.probe(sketches, probes, by, inputs.SHAPE)
 
 
 def heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:

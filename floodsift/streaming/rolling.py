@@ -14,13 +14,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from floodsift.functions.binary import micros
 from floodsift.operators.controller import FilterSettings, estimates_for, judged
+from floodsift.operators.decode import with_features
 from floodsift.operators.lookup import Lookup, attach, measure
 from floodsift.operators.sketch import residue_counts
 from floodsift.operators.volume import volumes, window_number, window_state
+from floodsift.schemas import FRAMES
 from floodsift.session import settle
 
 LINKS = (
@@ -68,10 +71,31 @@ class RollingFilter:
         """Packets of windows that had closed; to be forwarded unjudged."""
         return spark.read.parquet(f"{self.folder}/late").drop("batch")
 
+    def surviving_frames(self, spark: SparkSession) -> DataFrame:
+        """Frames let through: judged, late, and those forwarded by policy."""
+        passed = self.verdicts(spark).where("pass").select(*FRAMES.names)
+        late = self.late_packets(spark).select(*FRAMES.names)
+        other = spark.read.schema(FRAMES).option("recursiveFileLookup", True)
+        return passed.unionByName(late).unionByName(other.parquet(f"{self.folder}/forwarded"))
+
     # --- one batch ---
 
+    def frames(self, batch: DataFrame, batch_id: int) -> None:
+        """Like a call, for a stream of raw frames."""
+        wide = with_features(batch).persist(StorageLevel.MEMORY_AND_DISK)
+        policies = {
+            "malformed": self.settings.malformed_policy, "unknown": self.settings.unknown_policy
+        }
+        forwarded = [name for name, policy in policies.items() if policy == "forward"]
+        others = wide.where(F.col("packet_class").isin(forwarded)).select(*FRAMES.names)
+        others.write.mode("overwrite").parquet(self._path("forwarded", batch_id))
+        self(wide.where("packet_class = 'judged'").drop("packet_class"), batch_id)
+        wide.unpersist()
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        self._advance(batch, batch_id, close_all=False)
+        held = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        self._advance(held, batch_id, close_all=False)
+        held.unpersist()
 
     def drain(self, packets: DataFrame, batch_id: int) -> None:
         """Take the rest of a finite stream as batch ``batch_id`` and close every window."""

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from floodsift.functions.hashing import SketchShape
-from floodsift.operators import captures, controller
+from floodsift.operators import captures, controller, sketch
 from floodsift.operators.controller import FilterSettings
 from floodsift.plans import inputs
 from floodsift.sources.traffic import generate_traffic, scenario_flows
@@ -156,3 +156,19 @@ def test_a_large_flow_is_cut_into_chunks(spark):
         F.count(F.lit(1)), F.count_distinct("packet_id"), F.count_distinct("source_ip"), F.max("ts")
     ).first()
     assert tuple(stats) == (10_000, 10_000, 250, datetime(1970, 1, 1, 0, 0, 0, 999_900))
+
+
+def test_one_shuffle_estimates_equal_a_stored_sketch(spark, sf_dir):
+    by, shape = ["link_id", "dim"], SketchShape(depth=4, width=256, counter_bits=8)
+    packets = inputs.packets(spark, sf_dir)
+    counted = sketch.residue_counts(packets.where("packet_id % 3 > 0"), ["link_id"])
+    probes = sketch.residue_counts(packets, ["link_id"]).withColumnRenamed("cnt", "packets")
+    stored = sketch.probe(sketch.build(counted, by, shape), probes, by, shape)
+    met = sketch.estimate(counted, probes, by, shape)
+    rows = {tuple(r) for r in met.select(*stored.columns).collect()}
+    assert rows == {tuple(r) for r in stored.collect()} and any(r.estimate == 0 for r in stored.collect())
+    own = sketch.estimate_own(counted, by, shape)
+    asked = sketch.estimate(counted, counted.drop("cnt"), by, shape)
+    assert {tuple(r) for r in own.collect()} == {tuple(r) for r in asked.select(*own.columns).collect()}
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(link_id") - plan.count("residue") <= 1

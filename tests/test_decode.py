@@ -4,6 +4,9 @@ import random
 import struct
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
+from floodsift.functions import headers
 from floodsift.operators.decode import decode, features, malformed_report, payload_offsets
 from floodsift.schemas import FRAMES
 
@@ -137,3 +140,18 @@ def test_payload_offsets(spark):
     frames = [ethernet(vlan=3) + ipv4(6, ihl=6) + tcp(offset=6) + b"abc", ethernet(0x0806) + b"\0" * 28]
     rows = payload_offsets(table(spark, frames)).orderBy("packet_id").collect()
     assert [tuple(r)[2:] for r in rows] == [(18, 42, 66, 3), (14, None, 14, 28)]
+
+
+def test_layers_as_structs(spark):
+    df = table(spark, [ethernet(vlan=7) + ipv4(6, ihl=6) + tcp(8080), ethernet() + ipv4(17) + udp(99)])
+    rows = (
+        df.withColumn("eth", headers.decode_ethernet(F.col("frame")))
+        .withColumn("ip", headers.decode_ipv4(F.col("frame"), F.col("eth.header_len")))
+        .withColumn("l4", F.col("eth.header_len") + F.col("ip.header_len"))
+        .withColumn("tcp", headers.decode_tcp(F.col("frame"), F.col("l4")))
+        .withColumn("udp", headers.decode_udp(F.col("frame"), F.col("l4")))
+        .orderBy("packet_id")
+        .collect()
+    )
+    assert (rows[0].eth.vlan, rows[0].ip.header_length, rows[0].tcp.destination_port) == (7, 6, 8080)
+    assert (rows[1].eth.vlan_v, rows[1].ip.protocol, rows[1].udp.destination_port) == (False, 17, 99)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from floodsift.functions.hashing import SketchShape
 from floodsift.operators import controller, volume
 from floodsift.operators.controller import FilterSettings
+from floodsift.operators.decode import with_features
+from floodsift.plans import inputs
 from floodsift.schemas import PACKETS
 from floodsift.streaming.rolling import RollingFilter
 from floodsift.streaming.volume import stream_volume
@@ -55,9 +57,7 @@ def run(stream, folder, sink):
 
 
 def plain(verdicts):
-    columns = ["link_id", "packet_id", "w", "mode", "generation_free_score", "pass"]
-    rows = verdicts.withColumn("generation_free_score", F.col("score")).select(*columns).collect()
-    return {tuple(r) for r in rows}
+    return {tuple(r) for r in verdicts.select(*controller.VERDICT).collect()}
 
 
 def cut(rows, at):
@@ -67,7 +67,7 @@ def cut(rows, at):
 
 def test_rolling_filter_equals_batch_with_empty_windows(spark, tmp_path):
     rows = traffic()
-    batches = cut(rows, [3, 17, 18, 40, 55])
+    batches = cut(rows, [17, 40, 43])
     rolling = RollingFilter(f"{tmp_path}/state", SETTINGS)
     run(stored(spark, tmp_path, batches), tmp_path, rolling)
     rolling.drain(spark.createDataFrame([], PACKETS), len(batches))
@@ -79,7 +79,7 @@ def test_rolling_filter_equals_batch_with_empty_windows(spark, tmp_path):
 
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     rows = traffic()
-    batches = [spark.createDataFrame(part, PACKETS) for part in cut(rows, [20, 45])]
+    batches = [spark.createDataFrame(part, PACKETS) for part in cut(rows, [45])]
     rolling = RollingFilter(str(tmp_path), SETTINGS)
     for number, batch in enumerate(batches):
         rolling(batch, number)
@@ -121,3 +121,17 @@ def test_stream_volume_equals_batch_for_closed_windows(spark, tmp_path):
         (r.link_id, r.w, r.volume, r.over) for r in report.collect() if r.volume and r.w < 13
     }
     assert got == expected
+
+
+def test_frame_stream_lets_through_what_batch_does(spark, sf_dir, tmp_path):
+    frames = inputs.frames(spark, sf_dir)
+    middle = frames.agg(F.expr("percentile_approx(packet_id, 0.5)")).first()[0]
+    settings = replace(inputs.SETTINGS, volume_threshold=400)
+    rolling = RollingFilter(str(tmp_path), settings)
+    rolling.frames(frames.where(F.col("packet_id") <= middle), 0)
+    rolling.frames(frames.where(F.col("packet_id") > middle), 1)
+    features = with_features(frames.limit(0)).drop("packet_class")
+    rolling.drain(features, 2)
+    got = rolling.surviving_frames(spark)
+    assert got.exceptAll(controller.filter_frames(frames, settings)).isEmpty()
+    assert got.count() == controller.filter_frames(frames, settings).count()
