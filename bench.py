@@ -58,7 +58,7 @@ def main() -> None:
                 "rows_per_sec": {n: round(events / s) for n, s in seconds.items()},
                 "shuffle_bytes": shuffled,
                 "events": events,
-                "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
+                "sf": float(os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")),
             }
         )
     )
