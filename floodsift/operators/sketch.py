@@ -60,6 +60,13 @@ def probe(
     )
 
 
+def _gather(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """All rows of a group in one task. A fixed number of tasks, because each row is about
+    to become one per hash row and adaptive coalescing would go by the size before that."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *by)
+
+
 def estimate(
     counted: DataFrame, probes: DataFrame, by: Sequence[str], shape: SketchShape
 ) -> DataFrame:
@@ -73,7 +80,7 @@ def estimate(
     rest = [c for c in probes.columns if c not in keys]
     learnt = counted.select(*keys, F.col("cnt").alias("_cnt"), F.lit(False).alias("_asked"))
     asked = probes.withColumn("_asked", F.lit(True))
-    met = asked.unionByName(learnt, allowMissingColumns=True).repartition(*by)
+    met = _gather(asked.unionByName(learnt, allowMissingColumns=True), by)
     counter = F.sum("_cnt").over(Window.partitionBy(*by, "row", "bucket"))
     found = _rows(met, shape).withColumn("_counter", wrap_counter(counter, shape.counter_bits))
     return found.where("_asked").groupBy(*keys).agg(
@@ -85,7 +92,7 @@ def estimate(
 def estimate_own(counted: DataFrame, by: Sequence[str], shape: SketchShape) -> DataFrame:
     """:func:`estimate` where the counted residues are the probed ones."""
     counter = F.sum("cnt").over(Window.partitionBy(*by, "row", "bucket"))
-    cells = _rows(counted.repartition(*by), shape)
+    cells = _rows(_gather(counted, by), shape)
     cells = cells.withColumn("_counter", wrap_counter(counter, shape.counter_bits))
     return cells.groupBy(*by, "residue").agg(F.min("_counter").alias("estimate"))
 

@@ -8,12 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-# Session settings that suit these queries. Methods beyond 8,000 bytes of bytecode are
-# not compiled by the JVM; decoding every field at once makes one, so let Spark split it.
+# Session settings that suit these queries.
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
 }
 
