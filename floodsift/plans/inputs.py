@@ -103,7 +103,7 @@ SHAPE = SketchShape(depth=8, width=1 << 14)
 SETTINGS = FilterSettings(window_us=6 * HOUR_US, volume_threshold=None, shape=SHAPE)
 BIN_US = 6 * HOUR_US
 TICK_WINDOW, TICK_THRESHOLD = 400, 1_380_000
-HITTERS_ABOVE, HITTERS_TOP = 3, 5
+HITTERS_ABOVE, HITTERS_TOP = 1, 5
 FLOOD_SECONDS = (1, 2)
 
 
