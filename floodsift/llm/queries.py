@@ -6,13 +6,63 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from floodsift.llm import simhash
+from floodsift.llm import language, mix, multiset, neighbours, pack, simhash, spans, toxicity
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the documents shared out over the sources, and what each document gives."""
+    mixed = mix.mix(table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id",
+        F.col("_size").alias("size"),
+        "source_size",
+        "target",
+        (F.col("_size") * F.col("_copies")).alias("taken"),
+    )
+
+
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main language of every document, with the languages of its mixture."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = (language.remainder(5) == 0).alias("held_out")
+    found = language.identify(docs, ["doc_id"])
+    return found.select("doc_id", held_out, "lang_pred", "score", "languages", "proportions")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token sequences of at most 4096 ids."""
+    return pack.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op5_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth vector."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the sentences of repeated spans."""
+    return spans.drop_repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op8_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, with its offending sentences."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = (language.remainder(3) == 1).alias("held_out")
+    found = toxicity.detect(docs, labels, ["doc_id"])
+    return found.select("doc_id", held_out, "score", "predicted", "offending", "offence")
+
+
+def op9_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of documents and their edited texts, and their likeness."""
+    return multiset.compare(table(spark, sf_dir, "documents"))
+
+
 def op10_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked at three or fewer differing fingerprint bits, with their component."""
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -22,5 +72,15 @@ def op10_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op10_pigeonhole_simhash": op10_pigeonhole_simhash,
+    f.__name__: f
+    for f in (
+        op1_pareto_mix,
+        op2_language_mixture,
+        op3_best_fit_packing,
+        op5_collision_ann,
+        op7_sentence_spans,
+        op8_noisy_or_toxicity,
+        op9_multiset_fingerprint,
+        op10_pigeonhole_simhash,
+    )
 }
