@@ -19,28 +19,32 @@ from floodsift.llm.language import remainder
 
 CELLS = 1 << 18  # hashed features
 FIT_ROWS = 4000  # labelled documents of either label that the model is fitted on, at most about so many
-STEPS = 120
-RATE = 0.15
-RIDGE = 2e-6
-PREFIX = 4  # characters; words that share them share a feature
+STEPS = 60
+RATE = 0.1
+RIDGE = 1e-3  # pull towards the start
+PREFIXES = (4, 6, 8)  # characters; words that share them share a feature
+LEAST_DOCUMENTS = 3  # in which a feature occurs
+SURE = 2.0  # standard errors of the log odds from which a feature starts with them
 DECIDE = 0.7
 OFFENDING = 0.5
 _END = re.compile(r"(?<=[.!?])\s+|\n+")
-_EDGE = ".,;:!?\"'()[]"
+_EDGE = re.compile(r"^\W+|\W+$")
 
 
 def sentences(text: str | None) -> list[str]:
     return [s for s in _END.split(text or "") if s] or [""]
 
 
-def cells(word: str) -> tuple[int, int]:
+def cells(word: str) -> list[int]:
     """Features of a word: itself and its first characters."""
-    w = word.lower().strip(_EDGE)
-    return zlib.crc32(w.encode()) % CELLS, zlib.crc32(b"^" + w[:PREFIX].encode()) % CELLS
+    w = _EDGE.sub("", word.lower())
+    return [zlib.crc32(w.encode()) % CELLS] + [
+        zlib.crc32(f"^{w[:n]}".encode()) % CELLS for n in PREFIXES if len(w) >= n
+    ]
 
 
-def _chosen(labelled: DataFrame, fit_rows: int) -> DataFrame:
-    """About ``fit_rows`` rows of either label, by a hash of the key."""
+def _chosen(labelled: DataFrame, fit_rows: int) -> tuple[DataFrame, dict[int, int]]:
+    """About ``fit_rows`` rows of either label, by a hash of the key, and how many there are of each."""
     counts = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0)
     for label, n in counts.items():
@@ -48,34 +52,53 @@ def _chosen(labelled: DataFrame, fit_rows: int) -> DataFrame:
     return labelled.where(F.pmod(F.xxhash64("key", F.lit("fit")), F.lit(1 << 20)) < share), counts
 
 
-def train(bags: list[list[str]], labels: np.ndarray, weights: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Word weights and bias that minimise the noisy-or cross entropy, by Adam on all bags."""
-    words_of, sizes, per_bag = [], [], []
-    known: dict[str, tuple[int, int]] = {}
+def _start(document: np.ndarray, feature: np.ndarray, labels: np.ndarray, n: int) -> np.ndarray:
+    """Log odds of the features that occur in surely more documents of label 1 than of label 0."""
+    pairs = np.unique(document * n + feature)
+    document, feature = pairs // n, pairs % n
+    bad = np.bincount(feature, labels[document], n) + 0.5
+    good = np.bincount(feature, 1 - labels[document], n) + 0.5
+    odds = np.log(bad / (labels.sum() + 1)) - np.log(good / ((1 - labels).sum() + 1))
+    return np.where(odds > SURE * np.sqrt(1 / bad + 1 / good), odds, 0.0)
+
+
+def train(
+    bags: list[list[str]], labels: np.ndarray, weights: np.ndarray, steps: int = STEPS
+) -> tuple[np.ndarray, float]:
+    """Feature weights and bias that minimise the noisy-or cross entropy, by Adam over all bags.
+
+    Features of fewer than LEAST_DOCUMENTS documents are left out.
+    """
+    found, sizes, per_bag = [], [], []
+    known: dict[str, list[int]] = {}
     for bag in bags:
         per_bag.append(len(bag))
         for s in bag:
-            found = set(s.split())
-            sizes.append(2 * len(found))
-            for w in found:
+            before = len(found)
+            for w in set(s.split()):
                 if w not in known:
                     known[w] = cells(w)
-                words_of.extend(known[w])
-    index = np.array(words_of, np.int64)
-    used, index = np.unique(index, return_inverse=True)
+                found.extend(known[w])
+            sizes.append(len(found) - before)
+    cell = np.array(found, np.int64)
     sentence = np.repeat(np.arange(len(sizes)), sizes)
     bag_of = np.repeat(np.arange(len(per_bag)), per_bag)
-    w, b = np.zeros(len(used)), -4.0
+    documents = np.bincount(np.unique(bag_of[sentence] * CELLS + cell) % CELLS, minlength=CELLS)
+    frequent = documents[cell] >= LEAST_DOCUMENTS
+    sentence = sentence[frequent]
+    used, index = np.unique(cell[frequent], return_inverse=True)
+    start = _start(bag_of[sentence], index, labels, max(len(used), 1)) if len(used) else np.zeros(0)
+    w, b = start.copy(), -4.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, steps + 1):
         z = np.bincount(sentence, w[index], len(sizes)) + b
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         none = np.exp(np.bincount(bag_of, np.log1p(-np.minimum(p, 1 - 1e-9)), len(per_bag)))
         score = np.clip(1 - none, 1e-6, 1 - 1e-9)
-        # dLoss/dz = p * (1 - y / score), because d(score)/dz = (1 - score) * p
+        # The loss's slope in z is p * (1 - y / score), because d(score)/dz = (1 - score) * p.
         slope = p * (1 - labels / score)[bag_of] * weights[bag_of]
         grad = np.append(np.bincount(index, slope[sentence], len(used)), slope.sum()) / weights.sum()
-        grad[:-1] += RIDGE * np.sign(w)
+        grad[:-1] += RIDGE * (w - start)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -114,8 +137,7 @@ class Scorer:
     def word(self, w: str) -> float:
         if len(self.known) > 500_000:
             self.known.clear()
-        first, second = cells(w)
-        value = self.known[w] = float(self.w[first] + self.w[second])
+        value = self.known[w] = float(self.w[cells(w)].sum())
         return value
 
     def __call__(self, text: str | None) -> tuple[float, list[int], list[float]]:
