@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from floodsift.llm import language, mix, multiset, neighbours, pack, simhash, spans, toxicity
+from floodsift.llm import language, mix, multiset, neighbours, pack, simhash, spans, substrings, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -45,6 +45,11 @@ def op5_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op6_suffix_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings of earlier ones."""
+    return substrings.drop_repeated_strings(table(spark, sf_dir, "documents"))
+
+
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the sentences of repeated spans."""
     return spans.drop_repeated_spans(table(spark, sf_dir, "documents"))
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_language_mixture,
         op3_best_fit_packing,
         op5_collision_ann,
+        op6_suffix_grouping,
         op7_sentence_spans,
         op8_noisy_or_toxicity,
         op9_multiset_fingerprint,
