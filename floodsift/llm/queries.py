@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from floodsift.llm import language, mix, multiset, neighbours, pack, simhash, spans, substrings, toxicity
+from floodsift.llm import language, lines, mix, multiset, neighbours, pack, simhash, spans, substrings, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -40,6 +40,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that equal or nearly equal an earlier one."""
+    cleaned = lines.drop_near_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "text", F.col("_lines_removed").alias("lines_removed"))
+
+
 def op5_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors found for every twentieth vector."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_pareto_mix,
         op2_language_mixture,
         op3_best_fit_packing,
+        op4_line_edit_join,
         op5_collision_ann,
         op6_suffix_grouping,
         op7_sentence_spans,
