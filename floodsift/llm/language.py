@@ -53,7 +53,8 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.nd
     table = counts.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(table["lang"].unique())
     model = np.full((CELLS, len(langs)), SMOOTHING)
-    model[table["cell"], table["lang"].map({x: i for i, x in enumerate(langs)})] += table["n"]
+    if langs:
+        model[table["cell"], table["lang"].map({x: i for i, x in enumerate(langs)})] += table["n"]
     return langs, model / model.sum(axis=0)
 
 

@@ -155,8 +155,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), id_col: str = "doc_
 
     Null texts have no words; null sources are one source, the last. Rows of one id share the
     random number and, with equal texts, the decision. An empty table gives an empty table.
+    Columns of ``docs`` named like an added one are replaced.
     """
-    given = sized(docs, id_col)
+    added = ["_size", "source_size", "target", "_copies"]
+    held = [c for c in docs.columns if c not in added]
+    row = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(held)])
+    given = sized(docs.select(id_col, "text", "source", row.alias("_row")), id_col).drop("text", "source")
     narrow = stage(given.select("_source", "_size", "_class", "_u"))
     classes = narrow.groupBy("_source", "_class").agg(F.sum("_size").alias("words"))
     totals = targets(classes.groupBy("_source").agg(F.sum("words").alias("source_size")), weights)
@@ -177,11 +181,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), id_col: str = "doc_
     return (
         given.join(plan, ["_source", "_class"])
         .withColumn("_copies", F.col("whole") + sampled.cast("bigint"))
-        .select(*docs.columns, "_size", "source_size", "target", "_copies")
+        .select(*[F.col("_row").getField(f"c{k}").alias(c) for k, c in enumerate(held)], *added)
     )
 
 
 def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1)) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
     copies = F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))
-    return mix(docs, weights).withColumn("_copy", copies).select(*docs.columns)
+    rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_docs"))
+    return mix(rows, weights).select("_docs", copies).select("_docs.*")
