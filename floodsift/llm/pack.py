@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import os
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ from floodsift.session import stage
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000  # about 160 MB; all are forgotten when there are more
 SLICE_ROWS = 50_000
 
 
@@ -120,23 +121,54 @@ def token_ids(text: str | None, name: str) -> bytes:
     try:
         return b"".join([_WORDS[w] for w in found])
     except KeyError:
+        if len(_WORDS) > CACHED_WORDS:
+            _WORDS.clear()
         _learn({w for w in found if w not in _WORDS}, name)
         return b"".join([_WORDS[w] for w in found])
 
 
+@lru_cache(maxsize=1)
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: itself if printable, else the next free one."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+def _coded(words: list[bytes], name: str) -> dict[bytes, bytes]:
+    """Ids of words. One of letters only is a single piece for the model, so it needs no splitting."""
+    tokenizer, letters, out, others = _tokenizer(name), _byte_letters(), {}, []
+    model = tokenizer.model
+    for w in words:
+        if w.isalpha():
+            piece = w.decode()
+        else:
+            text = w.decode()
+            if not (text.isalpha() and unicodedata.is_normalized("NFC", text)):
+                others.append(w)
+                continue
+            lower = "".join([c.lower() for c in text])
+            if not (lower.isalpha() and unicodedata.is_normalized("NFC", lower)):
+                others.append(w)
+                continue
+            piece = "".join([letters[b] for b in lower.encode()])
+        out[w] = np.array([t.id for t in model.tokenize(piece)], "<u4").tobytes()
+    for w, coded in zip(others, tokenizer.encode_batch([w.decode() for w in others], add_special_tokens=False)):
+        out[w] = np.array(coded.ids, "<u4").tobytes()
+    return out
+
+
 def _learn(new: set[bytes], name: str) -> None:
-    if len(_WORDS) > CACHED_WORDS:
-        for w in [w for w in _WORDS if w not in new][: len(_WORDS) // 2]:
-            del _WORDS[w]
+    """Add words to those known. A mark after a letter is a piece of its own."""
     stems = {}
     for w in new:
-        plain = len(w) > 1 and w[-1:] in b",.!?;:" and 97 <= w[-2] <= 122
-        stems[w] = (w[:-1], w[-1:]) if plain else (w,)
-    parts = list({p for ps in stems.values() for p in ps if p not in _WORDS})
-    coded = _tokenizer(name).encode_batch([p.decode() for p in parts], add_special_tokens=False)
-    ids = {p: np.array(c.ids, "<u4").tobytes() for p, c in zip(parts, coded)}
+        marked = len(w) > 1 and w[-1:] in b",.!?;:" and 97 <= w[-2] <= 122
+        stems[w] = (w[:-1], w[-1:]) if marked else (w,)
+    ids = _coded(list({p for ps in stems.values() for p in ps if p not in _WORDS}), name)
+    _WORDS.update(ids)
     for w, ps in stems.items():
-        _WORDS[w] = b"".join([ids[p] if p in ids else _WORDS[p] for p in ps])
+        if len(ps) > 1:
+            _WORDS[w] = _WORDS[ps[0]] + _WORDS[ps[1]]
 
 
 def pieces(
