@@ -69,7 +69,3 @@ def long_to_ip(value: Column) -> Column:
 def micros(ts: Column) -> Column:
     """Microseconds since the epoch of a TIMESTAMP."""
     return F.unix_micros(ts)
-
-
-def seconds_to_micros(seconds: float) -> int:
-    return int(round(seconds * 1_000_000))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from floodsift.operators.ordering import positions, scan
 from floodsift.session import stage
 
 DEFAULT_TIMESTAMP = "idx * 0.00005"
+CAPTURE_ORDER = ("packet_id",)
 
 
 def packet_ordinals(packets: DataFrame) -> DataFrame:
@@ -24,18 +27,21 @@ def retimestamp(packets: DataFrame, expression: str = DEFAULT_TIMESTAMP) -> Data
     return numbered.withColumn("ts", F.timestamp_micros(micros)).drop("idx")
 
 
-def compare_captures(left: DataFrame, right: DataFrame) -> DataFrame:
+def compare_captures(
+    left: DataFrame, right: DataFrame, order: Sequence[str] = CAPTURE_ORDER
+) -> DataFrame:
     """Per link: both packet counts and the first one-based position that differs.
 
-    Captures are compared in time order. Frames travel as SHA-256 digests, so
-    payloads are not shuffled. ``first_difference`` is NULL for equal captures
-    and, as for any prefix, where the shorter one ends first it is the position
-    after its end.
+    Packets are numbered in capture order unless ``order`` names other columns, which with
+    ``link_id`` must identify a packet. Frames travel as SHA-256 digests, so payloads are not
+    shuffled. ``first_difference`` is NULL for equal captures and, as for any prefix, where the
+    shorter one ends first it is the position after its end.
     """
-    order = ["ts", "packet_id"]
 
     def ordered(frames: DataFrame, digest: str) -> DataFrame:
         digests = stage(frames.select("link_id", *order, F.sha2("frame", 256).alias(digest)))
+        if tuple(order) == CAPTURE_ORDER:
+            return packet_ordinals(digests).drop(*order)
         return positions(digests, ["link_id"], order, "ordinal").drop(*order)
 
     paired = ordered(left, "left").join(ordered(right, "right"), ["link_id", "ordinal"], "full")

@@ -14,6 +14,8 @@ from floodsift.operators.volume import SECOND, link_anchors, volumes, window_sta
 from floodsift.session import settle, stage
 
 ESTIMATES = [f"est_{name}" for name in DIMENSIONS.values()]
+# A bitmap covers 32,768 windows in 512 words; beyond 256 MB of them windows are joined instead.
+BLOCK_BITS, BLOCK_WORDS, BITMAP_BYTES = 15, 512, 256 << 20
 VERDICT = ["link_id", "packet_id", "w", "mode", *ESTIMATES, "score", "pass"]
 
 
@@ -157,13 +159,47 @@ def filter_frames(frames: DataFrame, settings: FilterSettings) -> DataFrame:
     dropped = (
         verdict_columns(narrow, known, settings).where(~F.col("pass")).select("link_id", "packet_id")
     )
-    tagged = tag(wide, known.anchors, known.state, settings)
-    querying = F.coalesce("mode", F.lit(False)) & (F.col("packet_class") == "judged")
+    # A frame of a calm window needs nothing: it is passed where it is read.
+    tagged = in_query_window(with_window(wide, known.anchors, settings.window_us), known.state, settings)
+    querying = F.col("_querying") & (F.col("packet_class") == "judged")
     calm = tagged.where(~querying).select(*frames.columns)
     asked = tagged.where(querying).select(*frames.columns)
     return calm.unionByName(asked.join(dropped, ["link_id", "packet_id"], "left_anti"))
 
 
+def query_bitmaps(state: DataFrame) -> DataFrame:
+    """(link_id, _block, _bits): a bit for each window of a block, set for QUERY windows.
+
+    Blocks without a QUERY window have no row, so a row stands for up to 32,768 windows.
+    """
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("w") % 64).cast("int"))
+    words = state.where("mode").groupBy(
+        "link_id",
+        F.shiftright("w", BLOCK_BITS).alias("_block"),
+        F.shiftright("w", 6).bitwiseAND(BLOCK_WORDS - 1).cast("int").alias("_word"),
+    ).agg(F.bit_or(bit).alias("_set"))
+    held = F.map_from_entries(F.collect_list(F.struct("_word", "_set")))
+    rows = words.groupBy("link_id", "_block").agg(held.alias("_held"))
+    every = F.sequence(F.lit(0), F.lit(BLOCK_WORDS - 1))
+    word = lambda k: F.coalesce(F.col("_held")[k], F.lit(0).cast("bigint"))
+    return rows.select("link_id", "_block", F.transform(every, word).alias("_bits"))
+
+
+def in_query_window(windowed: DataFrame, state: Lookup, settings: FilterSettings) -> DataFrame:
+    """Add ``_querying``. The bitmaps are broadcast if their measured size allows it."""
+    bitmaps = settle(query_bitmaps(state.table))
+    if bitmaps.count() * BLOCK_WORDS * 8 > BITMAP_BYTES:
+        found = attach(windowed, state, ["link_id", "w"], "packet_id", settings.broadcast_rows)
+        return found.withColumn("_querying", F.coalesce("mode", F.lit(False)))
+    word = F.get("_bits", F.shiftright("w", 6).bitwiseAND(BLOCK_WORDS - 1).cast("int"))
+    bit = F.call_function("shiftright", word, (F.col("w") % 64).cast("int")).bitwiseAND(1)
+    return (
+        windowed.withColumn("_block", F.shiftright("w", BLOCK_BITS))
+        .join(F.broadcast(bitmaps), ["link_id", "_block"], "left")
+        .withColumn("_querying", F.coalesce(bit == 1, F.lit(False)))
+    )
+
+
 def filter_metrics(verdicts: DataFrame) -> DataFrame:
     """Inserts and queries asked for, packets in and out, per window."""
     one = F.lit(1).cast("bigint")

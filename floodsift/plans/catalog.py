@@ -13,6 +13,7 @@ from floodsift.functions.binary import ip_to_long, long_to_ip, micros, swap_byte
 from floodsift.operators import captures, controller, decode, framing, replay, sketch, volume
 from floodsift.plans import inputs
 from floodsift.session import settle, shared_folder
+from floodsift.sources import pcap
 from floodsift.sources.frames import in_time_order, read_frames, write_frames
 from floodsift.sources.traffic import generate_traffic
 from floodsift.streaming.rolling import RollingFilter
@@ -44,6 +45,19 @@ def frames_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hex_frames(read_frames(spark, path))
 
 
+def captures_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames written as capture files, in both formats and two folders of equal names, and read back."""
+    folder = f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}"
+    frames = inputs.frames(spark, sf_dir)
+    half = F.col("packet_id") % 2 == 0
+    for blocks, part in ((False, frames.where(half)), (True, frames.where(~half))):
+        name = F.concat(F.col("link_id"), F.lit("/blocks.pcapng" if blocks else "/records.pcap"))
+        pcap.write_captures(part, folder, name, blocks).write.format("noop").mode("overwrite").save()
+    link = F.regexp_extract("path", "([^/]+)/[^/]+$", 1)
+    back = pcap.read_captures(spark, folder, split_bytes=300_000, link=link)
+    return back.select("link_id", micros(F.col("ts")).alias("ts_us"), F.hex("frame").alias("frame_hex"))
+
+
 def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = in_time_order(generate_traffic(inputs.flows(spark, sf_dir)))
     features = ("source_ip", "destination_ip", "destination_port", "total_length")
@@ -384,6 +398,7 @@ def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "frames_scan": frames_scan,
     "frames_roundtrip": frames_roundtrip,
+    "captures_scan": captures_scan,
     "generate_traffic": traffic,
     "frames_to_words": frames_to_words,
     "words_to_frames": words_to_frames,

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from floodsift.functions.hashing import SketchShape
 from floodsift.operators.controller import FilterSettings
 from floodsift.operators.framing import encode_beats, to_words
+from floodsift.sources import traffic
 
 PACKETS = """
 SELECT concat('link-', CAST(user_id % 2 AS STRING)) AS link_id, event_id AS packet_id, ts,
@@ -179,12 +180,12 @@ def flows(
     flood = flood.withColumns(
         {
             "protocol": F.lit(17),
-            "source_mac": F.lit(244837814042624).cast("bigint"),
-            "source_ip": F.lit(3325256705).cast("bigint"),
-            "source_port": F.lit(53),
-            "destination_port": F.lit(40006),
-            "size": F.lit(1024),
-            "sources": F.lit(250),
+            "source_mac": F.lit(traffic.mac_number(traffic.FLOOD_SOURCE_MAC)).cast("bigint"),
+            "source_ip": F.lit(traffic.ip_number(traffic.FLOOD_SOURCE_IP)).cast("bigint"),
+            "source_port": F.lit(traffic.FLOOD[2]),
+            "destination_port": F.lit(traffic.FLOOD[1]),
+            "size": F.lit(traffic.FLOOD[3]),
+            "sources": F.lit(traffic.FLOOD_SOURCES),
             "fill": F.lit("X"),
             "seconds": F.array(*[F.lit(second) for second in attack_seconds]),
         }

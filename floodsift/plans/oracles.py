@@ -7,6 +7,7 @@ headers are cut from zero-padded hexadecimal text.
 from __future__ import annotations
 
 from floodsift.plans import inputs
+from floodsift.sources import traffic
 
 PRIME = 65521
 WINDOW_US = inputs.SETTINGS.window_us
@@ -237,16 +238,18 @@ def _traffic(name: str, attack_seconds: tuple[int, ...]) -> str:
 {name}_flows AS (
   SELECT *, 1 AS sources, 120 AS fill, [0, 1, 2] AS seconds FROM {name}_base
   UNION ALL BY NAME
-  SELECT link_id, max(flow_id) + 1 AS flow_id, 17 AS protocol, 244837814042624 AS source_mac,
-    destination_mac, 3325256705 AS source_ip, destination_ip, 53 AS source_port,
-    40006 AS destination_port, 1024 AS size, sum(rate)::BIGINT AS rate, 250 AS sources, 88 AS fill,
+  SELECT link_id, max(flow_id) + 1 AS flow_id, 17 AS protocol, {traffic.mac_number(traffic.FLOOD_SOURCE_MAC)} AS source_mac,
+    destination_mac, {traffic.ip_number(traffic.FLOOD_SOURCE_IP)} AS source_ip, destination_ip, {traffic.FLOOD[2]} AS source_port,
+    {traffic.FLOOD[1]} AS destination_port, {traffic.FLOOD[3]} AS size, sum(rate)::BIGINT AS rate, {traffic.FLOOD_SOURCES} AS sources, 88 AS fill,
     [{seconds}] AS seconds
   FROM {name}_base GROUP BY link_id, destination_mac, destination_ip),
 {name}_slots AS (
   SELECT *, unnest(range(0, pps)) AS n
-  FROM (SELECT *, unnest(seconds) AS second, rate // 8 // size AS pps FROM {name}_flows)),
+  FROM (SELECT *, coalesce(sum(pps) OVER (PARTITION BY link_id ORDER BY second, flow_id
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base
+        FROM (SELECT *, unnest(seconds) AS second, rate // 8 // size AS pps FROM {name}_flows))),
 {name}_packets AS (
-  SELECT link_id, second::BIGINT * 281474976710656 + flow_id::BIGINT * 16777216 + n AS packet_id,
+  SELECT link_id, (base + n)::BIGINT AS packet_id,
     second * 1000000 + (n * 1000000) // pps AS ts_us,
     source_mac + CASE WHEN sources > 1 THEN n % 256 ELSE 0 END AS source_mac, destination_mac,
     source_ip + n % sources AS source_ip, destination_ip, source_port, destination_port,
@@ -307,7 +310,7 @@ WHERE q.mode = 1 GROUP BY q.sketch_id, q.seq""",
 
 def _ranked(name: str, source: str) -> str:
     return f"""{name} AS (
-  SELECT link_id, frame_hex, row_number() OVER (PARTITION BY link_id ORDER BY ts, packet_id) AS pos
+  SELECT link_id, frame_hex, row_number() OVER (PARTITION BY link_id ORDER BY packet_id) AS pos
   FROM {source})"""
 
 
@@ -336,6 +339,9 @@ ORACLES: dict[str, str] = {
     "frames_roundtrip": _with(
         *FRAME_PARTS, final=f"SELECT link_id, packet_id, {_instant()} AS ts_us, frame_hex FROM frames"
     ),
+    "captures_scan": _with(
+        *FRAME_PARTS, final=f"SELECT link_id, {_instant()} AS ts_us, frame_hex FROM frames"
+    ),
     "generate_traffic": _with(
         _traffic("traffic", inputs.FLOOD_SECONDS),
         final="""SELECT link_id, packet_id, ts_us::BIGINT AS ts_us, frame_hex, source_ip, destination_ip,

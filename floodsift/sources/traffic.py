@@ -6,13 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from floodsift.functions.binary import hex_of
 from floodsift.functions.headers import PROTOCOLS
+from floodsift.operators.ordering import positions, scan
 from floodsift.schemas import FLOWS
 
 CHUNK_BITS = 12
 TASK_PACKETS = 1 << 18
-# A packet number is second, flow and position; its order is the order of generation.
-FLOW_BITS = 24
-POSITION_BITS = 24
 
 # The example scenario. One server, five clients and a reflected
 # flood from 250 sources; rates in bit/s, sizes in payload bytes.
@@ -40,11 +38,11 @@ FLOOD = ("UDP", 40006, 53, 1024, 500_000)
 SCENARIO_SECONDS = 3
 
 
-def _mac(text: str) -> int:
+def mac_number(text: str) -> int:
     return int(text.replace(":", ""), 16)
 
 
-def _ip(text: str) -> int:
+def ip_number(text: str) -> int:
     value = 0
     for part in text.split("."):
         value = value * 256 + int(part)
@@ -55,14 +53,14 @@ def scenario_flows(
     spark: SparkSession, attack_seconds: tuple[int, ...] = (1, 2), link_id: str = "link-0"
 ) -> DataFrame:
     """The example scenario as a ``flows`` table."""
-    ends = [(_ip(ip), _mac(mac), flow, 1, "x", None) for (ip, mac), flow in zip(CLIENTS, CLIENT_FLOWS)]
+    ends = [(ip_number(ip), mac_number(mac), flow, 1, "x", None) for (ip, mac), flow in zip(CLIENTS, CLIENT_FLOWS)]
     ends.append(
-        (_ip(FLOOD_SOURCE_IP), _mac(FLOOD_SOURCE_MAC), FLOOD, FLOOD_SOURCES, "X", list(attack_seconds))
+        (ip_number(FLOOD_SOURCE_IP), mac_number(FLOOD_SOURCE_MAC), FLOOD, FLOOD_SOURCES, "X", list(attack_seconds))
     )
     rows = [
         (
-            link_id, number, PROTOCOLS[protocol], source_mac, _mac(SERVER_MAC), source_ip,
-            _ip(SERVER_IP), sport, dport, size, rate, sources, fill, seconds,
+            link_id, number, PROTOCOLS[protocol], source_mac, mac_number(SERVER_MAC), source_ip,
+            ip_number(SERVER_IP), sport, dport, size, rate, sources, fill, seconds,
         )
         for number, (source_ip, source_mac, (protocol, dport, sport, size, rate), sources, fill, seconds)
         in enumerate(ends)
@@ -70,6 +68,12 @@ def scenario_flows(
     return spark.createDataFrame(rows, FLOWS)
 
 
+def numbered(active: DataFrame) -> DataFrame:
+    """Add ``first_packet``: the packets of the link in earlier seconds and, in this one, of earlier flows."""
+    placed = positions(active, ["link_id"], ["second", "flow_id"], "_place")
+    return scan(placed, ["link_id"], "_place", sums={"first_packet": F.col("pps")}).drop("_place")
+
+
 def generate_traffic(
     flows: DataFrame, duration: int = SCENARIO_SECONDS, rate_scale: int = 1, start_us: int = 0
 ) -> DataFrame:
@@ -77,15 +81,17 @@ def generate_traffic(
 
     A flow sends ``rate / rate_scale / 8 / size`` packets a second (whole
     divisions), in the seconds it names or in all. A flow with several sources
-    uses them in rotation. Large flows are cut into chunks before their packets
+    uses them in rotation. Packets of a link are numbered without gaps, by second, flow and
+    position. Large flows are cut into chunks before their packets
     are made, so one flow may hold most of the traffic.
     """
     second = F.explode(F.sequence(F.lit(0), F.lit(duration - 1)))
     pps = F.expr(f"((rate div {rate_scale}) div 8) div size")
-    too_fast = F.raise_error(F.lit("a flow exceeds the packets one second can number"))
-    active = flows.withColumns(
-        {"second": second, "pps": F.when(pps < 1 << POSITION_BITS, pps).otherwise(too_fast)}
-    ).where("pps > 0 AND (seconds IS NULL OR array_contains(seconds, second))")
+    active = numbered(
+        flows.withColumns({"second": second, "pps": pps}).where(
+            "pps > 0 AND (seconds IS NULL OR array_contains(seconds, second))"
+        )
+    )
 
     # Chunks are tiny and their packets are not: spread them by the packets they make.
     total = active.agg(F.sum("pps")).first()[0] or 0
@@ -104,9 +110,7 @@ def generate_traffic(
     l4_header = F.when(F.col("protocol") == PROTOCOLS["TCP"], 20).otherwise(8)
     packets = packets.withColumns(
         {
-            "packet_id": F.shiftleft(F.col("second").cast("bigint"), FLOW_BITS + POSITION_BITS)
-            + F.shiftleft(F.col("flow_id").cast("bigint"), POSITION_BITS)
-            + F.col("n"),
+            "packet_id": F.col("first_packet") + F.col("n"),
             "ts": F.timestamp_micros(
                 F.lit(start_us) + F.col("second") * 1_000_000 + F.expr("(n * 1000000) div pps")
             ),

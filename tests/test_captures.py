@@ -25,6 +25,14 @@ def test_compare(spark):
     assert compared(a, table(spark, [b"1"], "m")) == [("l", 3, 0, 1), ("m", 0, 1, 1)]
 
 
+def test_exchanged_packets_differ_in_capture_order(spark):
+    a = table(spark, [b"1", b"2", b"3"])
+    swapped = a.withColumn("packet_id", F.when(F.col("packet_id") < 2, 1 - F.col("packet_id")).otherwise(2))
+    assert compared(a, swapped) == [("l", 3, 3, 1)]
+    by_time = captures.compare_captures(a, swapped, ("ts", "packet_id")).collect()
+    assert [tuple(r) for r in by_time] == [("l", 3, 3, None)]
+
+
 def test_retimestamp(spark):
     df = table(spark, [b"a", b"b", b"c"]).withColumn("packet_id", F.col("packet_id") * 10 + 5)
     by_default = captures.retimestamp(df).orderBy("packet_id").select(F.unix_micros("ts")).collect()

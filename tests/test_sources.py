@@ -1,3 +1,4 @@
+import gzip
 import random
 import struct
 
@@ -19,7 +20,7 @@ def capture_bytes(records, order="<", nanos=False):
 
 
 def as_read(df, link):
-    rows = df.where(F.col("link_id") == link).orderBy("packet_id")
+    rows = df.where(F.regexp_extract("link_id", r"([^/]+?)(\.[^./]*)?$", 1) == link).orderBy("packet_id")
     return [(r.us, bytes(r.frame)) for r in rows.withColumn("us", F.unix_micros("ts")).collect()]
 
 
@@ -55,6 +56,60 @@ def test_ranges_are_exact_even_with_captures_and_zeros_as_payload(spark, tmp_pat
         pcap.read_captures(spark, str(tmp_path), split_bytes=1000)
 
 
+RECORDS = [(1_700_000_000_000_000 + n, bytes([n]) * (20 + n)) for n in range(5)]
+
+
+def damaged(records, third):
+    whole = capture_bytes(records)
+    at = 24 + sum(16 + len(f) for _, f in records[:2])
+    return whole[:at] + third + whole[at + 16 + len(records[2][1]) :], at
+
+
+@pytest.mark.parametrize("third", [
+    struct.pack("<IIII", 1, 2_000_000, 5, 5) + b"abcde",
+    struct.pack("<IIII", 1, 0, 300_000, 300_000) + bytes(300_000),
+    struct.pack("<IIII", 1, 0, 9, 5) + b"abcdefghi",
+])
+def test_damaged_records_raise_and_are_reported(spark, tmp_path, third):
+    content, at = damaged(RECORDS, third)
+    (tmp_path / "a.pcap").write_bytes(content)
+    with pytest.raises(Exception, match=f"a.pcap: no possible record at byte {at}"):
+        pcap.read_captures(spark, str(tmp_path)).count()
+    assert as_read(pcap.read_captures(spark, str(tmp_path), raising=False), "a") == RECORDS[:2]
+    assert [(r["at"], r["error"]) for r in pcap.capture_errors(spark, str(tmp_path)).collect()] == [
+        (at, "no possible record")
+    ]
+
+
+def test_links_of_equal_names_and_rotated_files(spark, tmp_path):
+    for folder in ("d1", "d2"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "eth0.pcap").write_bytes(capture_bytes(RECORDS))
+    frames = pcap.read_captures(spark, str(tmp_path))
+    assert frames.select("link_id", "packet_id").distinct().count() == 10
+    assert frames.select("link_id").distinct().count() == 2
+    (tmp_path / "d2" / "eth0.pcap").write_bytes(capture_bytes([(us + 100, f) for us, f in RECORDS]))
+    one = pcap.read_captures(spark, str(tmp_path), link=F.lit("eth0")).orderBy("packet_id").collect()
+    assert [r.ts for r in one] == sorted(r.ts for r in one) and len({r.packet_id for r in one}) == 10
+
+
+def test_link_types_are_refused_by_name(spark, tmp_path):
+    (tmp_path / "raw.pcap").write_bytes(capture_bytes(RECORDS)[:20] + struct.pack("<I", 101) + capture_bytes(RECORDS)[24:])
+    with pytest.raises(Exception, match="link type 101"):
+        pcap.read_captures(spark, str(tmp_path)).count()
+
+
+def test_gzip_and_the_block_format(spark, tmp_path):
+    (tmp_path / "g.gz").write_bytes(gzip.compress(capture_bytes(RECORDS, ">", True)))
+    blocks = pcap._section() + b"".join(pcap._packet_block(us, f) for us, f in RECORDS)
+    (tmp_path / "b.pcapng").write_bytes(blocks)
+    (tmp_path / "t.pcapng").write_bytes(blocks[:-3])
+    frames = pcap.read_captures(spark, str(tmp_path))
+    assert as_read(frames, "g") == as_read(frames, "b") == RECORDS and as_read(frames, "t") == RECORDS[:-1]
+    (tmp_path / "x.pcapng").write_bytes(blocks[:52] + b"\x01" + blocks[53:])
+    assert pcap.capture_errors(spark, str(tmp_path)).select("error").distinct().count() == 1
+
+
 def test_written_frames_come_back_in_time_order(spark, sf_dir, tmp_path):
     frames = inputs.frames(spark, sf_dir)
     path = str(tmp_path / "frames")
