@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from floodsift.llm.language import remainder
+from floodsift.session import stage
 
 CELLS = 1 << 18  # hashed features
 FIT_ROWS = 4000  # labelled documents of either label that the model is fitted on, at most about so many
@@ -107,13 +108,17 @@ def train(
     return full, float(b)
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
-    """Fit on ``key``, ``text`` and ``toxic`` of a bounded sample, in one task of bounded size."""
-    known = labelled.where(F.col("toxic").isNotNull())
-    rows, counts = _chosen(known, fit_rows)
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
+    """Fit on a bounded sample, in one task of bounded size.
+
+    ``docs`` has ``key`` and ``text``, ``labels`` has ``key`` and ``toxic``, one row a key. The sample
+    is chosen from the labels, so only its texts are read on.
+    """
+    rows, counts = _chosen(labels.where(F.col("toxic").isNotNull()), fit_rows)
     if not counts:
         return np.zeros(CELLS), -4.0
     share = {k: min(1.0, fit_rows / n) for k, n in counts.items()}
+    rows = docs.join(F.broadcast(stage(rows)), "key")  # about fit_rows rows of either label
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("key")
@@ -180,6 +185,6 @@ def detect(docs: DataFrame, labels: DataFrame, keep: list[str], fit_rows: int =
 
     Null and empty texts are one empty sentence. Without labels every text scores about alike.
     """
-    known = labels.where(remainder(3) != 1).select(F.col("doc_id").alias("key"), "toxic").dropDuplicates(["key"])
-    rows = docs.select(F.col("doc_id").alias("key"), "text").join(known, "key")
-    return score(docs, *fit(rows, fit_rows), keep)
+    known = labels.where(remainder(3) != 1).groupBy(F.col("doc_id").alias("key")).agg(F.max("toxic").alias("toxic"))
+    texts = docs.select(F.col("doc_id").alias("key"), "text")
+    return score(docs, *fit(texts, known, fit_rows), keep)
