@@ -150,18 +150,28 @@ def _cut(rows: DataFrame, missing: DataFrame) -> DataFrame:
     return found.select("_source", "last")
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), id_col: str = "doc_id") -> DataFrame:
+def mix(
+    docs: DataFrame,
+    weights: Sequence[int] = (5, 2, 1),
+    id_col: str = "doc_id",
+    keep: Sequence[str] | None = None,
+) -> DataFrame:
     """All rows of ``docs`` with _size, source_size, target and _copies (0 to CAP) added.
 
     Null texts have no words; null sources are one source, the last. Rows of one id share the
     random number and, with equal texts, the decision. An empty table gives an empty table.
-    Columns of ``docs`` named like an added one are replaced.
+    Columns of ``docs`` named like an added one are replaced. With ``keep`` only these columns are
+    returned; if they are narrow, that saves reading the texts a second time.
     """
     added = ["_size", "source_size", "target", "_copies"]
-    held = [c for c in docs.columns if c not in added]
+    held = [c for c in (docs.columns if keep is None else keep) if c not in added]
     row = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(held)])
-    given = sized(docs.select(id_col, "text", "source", row.alias("_row")), id_col).drop("text", "source")
-    narrow = stage(given.select("_source", "_size", "_class", "_u"))
+    given = sized(docs.select(id_col, "text", "source", row.alias("_row")), id_col).drop(id_col, "text", "source")
+    if keep is not None:
+        given = stage(given)
+        narrow = given
+    else:
+        narrow = stage(given.select("_source", "_size", "_class", "_u"))
     classes = narrow.groupBy("_source", "_class").agg(F.sum("_size").alias("words"))
     totals = targets(classes.groupBy("_source").agg(F.sum("words").alias("source_size")), weights)
     expected = stage(copies_by_class(classes.join(totals, "_source")).select(

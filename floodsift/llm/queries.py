@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of the documents shared out over the sources, and what each document gives."""
-    mixed = mix.mix(table(spark, sf_dir, "documents"))
+    mixed = mix.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return mixed.select(
         "doc_id",
         F.col("_size").alias("size"),

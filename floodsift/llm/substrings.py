@@ -28,12 +28,14 @@ from floodsift.session import shared_folder
 SPAN = 50
 GRAM = 24
 STRINGS = SPAN - GRAM + 1  # with one anchor
-BATCH_BYTES = 16 << 20
-OWNED = 1 << 19  # anchors that a task owns, about
-CONTEXTS = 16  # different texts around one anchor that are sorted together
+BATCH_BYTES = 8 << 20
+OWNED = 1 << 18  # anchors that a task owns, about
+CONTEXTS = 16  # different texts around one anchor that are sorted together as they are
+JOINED = 64  # different texts in one suffix array
+HALF = STRINGS // 2  # strings that start so far before an anchor have it in their right part
 CELLS = 1 << 21  # of a matrix of suffix arrays
 NO_ID = (1 << 63) - 1  # of documents without one
-SETTLED, SORTED, SINGLE = 0, 1, 2  # what is known of an anchor: the document, sort its texts, or its strings one by one
+SETTLED, SORTED, SPLIT = 0, 1, 2  # of an anchor: its document is known, its texts are sorted, or they are split first
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -199,9 +201,16 @@ class Batch:
             low, high = max(0, p - STRINGS + 1), min(n, p + SPAN)
             if state[self.entry[k]] == SORTED:
                 yield d, low, high, h
-            else:
-                for s in range(low, high - SPAN + 1):
-                    yield d, s, s + SPAN, xxhash.xxh3_64_intdigest(self.docs[d][1][s : s + SPAN], 3)
+                continue
+            # Strings that start HALF or more before the anchor share the text from there to its end;
+            # the others share the text from the anchor on. Either is a narrower anchor.
+            raw = self.docs[d][1]
+            if p >= HALF and low + SPAN <= n:
+                end = min(n, p - HALF + SPAN)
+                yield d, low, end, xxhash.xxh3_64_intdigest(raw[p - HALF : p + GRAM], 3)
+            begin = max(0, p - HALF + 1)
+            if begin + SPAN <= n:
+                yield d, begin, high, xxhash.xxh3_64_intdigest(raw[p : p - HALF + 1 + SPAN], 4)
 
     def send(self, dealer: Dealer, batch: int, state: np.ndarray) -> pa.Table:
         least: dict[tuple[int, bytes], int] = {}
@@ -233,8 +242,8 @@ def _resolve(table: pa.Table) -> pa.Table:
     first = np.flatnonzero(edge)
     run = np.cumsum(edge) - 1
     different = np.add.reduceat(np.r_[True, (ts[1:] != ts[:-1]) | edge[1:]].astype(np.int64), first)
-    state = np.where(different == 1, SETTLED, np.where(different <= CONTEXTS, SORTED, SINGLE))
-    state[np.minimum.reduceat(ts, first) == 0] = SINGLE
+    state = np.where(different == 1, SETTLED, np.where(different <= CONTEXTS, SORTED, SPLIT))
+    state[np.minimum.reduceat(ts, first) == 0] = SPLIT
     least = np.minimum.reduceat(doc[order], first)
     states, docs = np.empty(len(h), np.int8), np.empty(len(h), np.int64)
     states[order], docs[order] = state[run], least[run]
@@ -269,12 +278,37 @@ def smallest_documents(texts: list[bytes], anchor: np.ndarray, doc: np.ndarray)
         by_count.setdefault(len(group), []).append(group)
     width = SPAN + STRINGS  # of the longest text and a mark after it
     for count, groups in by_count.items():
+        if count > JOINED:
+            for group in groups:
+                _count_strings(group, texts, doc, out)
+            continue
         at_once = max(1, CELLS // (count * width))
         for start in range(0, len(groups), at_once):
             _compare(groups[start : start + at_once], count, width, texts, doc, out)
     return out
 
 
+def _count_strings(group, texts, doc, out) -> None:
+    """The same for very many texts that share an anchor: their strings are sorted one by one."""
+    strings, of, at = [], [], []
+    for t, rows in enumerate(group):
+        raw = texts[rows[0]]
+        n = max(0, len(raw) - SPAN + 1)
+        strings += [raw[k : k + SPAN] for k in range(n)]
+        of += [t] * n
+        at += range(n)
+    if not strings:
+        return
+    least = np.array([min(int(doc[k]) for k in rows) for rows in group])
+    _, run = np.unique(np.array(strings, f"V{SPAN}"), return_inverse=True)
+    smallest = np.full(run.max() + 1, NO_ID)
+    np.minimum.at(smallest, run, least[of])
+    answer = np.full((len(group), STRINGS), NO_ID)
+    answer[of, at] = smallest[run]
+    for t, rows in enumerate(group):
+        out[rows] = answer[t]
+
+
 def _compare(groups, count, width, texts, doc, out) -> None:
     matrix = np.zeros((len(groups), count * width), np.int16)
     starts, lengths = np.zeros((len(groups), count), np.int64), np.zeros((len(groups), count), np.int64)

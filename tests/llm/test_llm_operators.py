@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -254,8 +255,51 @@ def plain_strings(texts):
     return out
 
 
-def test_substrings(docs, none, monkeypatch):
-    monkeypatch.setattr(substrings, "CONTEXTS", 2)
+def in_one_process(texts, batches):
+    """The same steps as on Spark, with the tables passed by hand."""
+    def grouped(tables, by):
+        rows = [r for t in tables for r in t.to_pylist()]
+        found = {}
+        for r in rows:
+            found.setdefault(r[by], []).append(r)
+        return {k: pa.Table.from_pylist(v, schema=substrings._PACKED) for k, v in found.items()}
+
+    dealer = substrings.Dealer(sum(len(t or "") for _, t in texts))
+    tables = [
+        pa.table({"key": pa.array([k for k, _ in texts[b::batches]], pa.int64()), "text": [t or "" for _, t in texts[b::batches]]})
+        for b in range(batches)
+    ]
+    empty, answers = substrings._PACKED.empty_table(), []
+    told = lambda: grouped(answers, "batch")
+    sent = [substrings._count(dealer, b, t) for b, t in enumerate(tables)]
+    answers += [substrings._shared(t) for t in grouped(sent, "owner").values()]
+    made = [substrings.Batch(dealer, t, told().get(b, empty)) for b, t in enumerate(tables)]
+    sent = [x.ask(b) for b, x in enumerate(made)]
+    answers += [substrings._resolve(t) for t in grouped(sent, "owner").values()]
+    sent = [x.send(dealer, b, x.told(told().get(b, empty))[0]) for b, x in enumerate(made)]
+    answers += [substrings._sort(t) for t in grouped(sent, "owner").values()]
+    names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    schema = pa.schema([(n, pa.int64()) for n in names[:-1]] + [(names[-1], pa.string())])
+    out = [substrings._remove(dealer, t, told().get(b, empty), schema) for b, t in enumerate(tables)]
+    return {r["key"]: tuple(r.values())[1:] for t in out for r in t.to_pylist()}
+
+
+@pytest.mark.parametrize("contexts, joined", [(16, 64), (2, 64), (2, 2), (1, 3)])
+def test_substrings_with_many_contexts(monkeypatch, contexts, joined):
+    monkeypatch.setattr(substrings, "CONTEXTS", contexts)
+    monkeypatch.setattr(substrings, "JOINED", joined)
+    rng = np.random.default_rng(contexts)
+    words = [f"w{k}" for k in range(60)]
+    shared = " ".join(rng.choice(words, 60))
+    texts = []
+    for k in range(60):
+        at, end = sorted(rng.integers(0, len(shared), 2).tolist())
+        noise = " ".join(rng.choice(words, rng.integers(0, 40)))
+        texts.append((k, noise + shared[at:end] + "the the " * int(rng.integers(0, 20)) + noise[::-1] + shared[:at]))
+    assert in_one_process(texts, 4) == plain_strings(texts)
+
+
+def test_substrings(docs, none):
     got = {r[0]: tuple(r[1:]) for r in rows_of(substrings.drop_repeated_strings(docs))}
     assert got == plain_strings([*enumerate(TEXTS), (None, PASSAGE)])
     assert rows_of(substrings.drop_repeated_strings(none)) == []
