@@ -30,8 +30,8 @@ GRAM = 24
 STRINGS = SPAN - GRAM + 1  # with one anchor
 BATCH_BYTES = 8 << 20
 OWNED = 1 << 18  # anchors that a task owns, about
-CONTEXTS = 16  # different texts around one anchor that are sorted together as they are
-JOINED = 64  # different texts in one suffix array
+CONTEXTS = 4  # different texts around one anchor that are sorted together as they are
+JOINED = 6  # different texts in one suffix array
 HALF = STRINGS // 2  # strings that start so far before an anchor have it in their right part
 CELLS = 1 << 21  # of a matrix of suffix arrays
 NO_ID = (1 << 63) - 1  # of documents without one
