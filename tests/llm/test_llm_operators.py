@@ -204,6 +204,8 @@ def test_edit_join_and_distance(spark, edits):
     wanted = F.levenshtein("a", "b") <= edits
     assert df.where(lines.within_edits(F.col("a"), F.col("b"), edits) != wanted).count() == 0
     texts = df.select(F.col("a").alias("line")).union(df.select("b")).distinct().withColumn("h", F.xxhash64("line"))
+    far = ~lines.may_be_near(lines.letters(F.col("a")), lines.letters(F.col("b")), edits)
+    assert df.where(far & wanted).count() == 0
     every = texts.alias("x").join(texts.alias("y"), F.expr(f"x.h < y.h and levenshtein(x.line, y.line) <= {edits}"))
     assert {tuple(sorted(r)) for r in rows_of(lines.near_pairs(texts, edits))} == set(rows_of(every.select("x.h", "y.h")))
 
