@@ -384,15 +384,22 @@ def stream_window_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(found.schema).parquet(f"{folder}/out")
 
 
-def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts of all windows that closed before the end of the stream."""
+def _rolled(spark: SparkSession, sf_dir: str) -> RollingFilter:
+    """The packets through the rolling filter in several batches, and all windows closed."""
     _, threshold = _overall(spark, sf_dir)
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rolling = RollingFilter(folder, replace(inputs.SETTINGS, volume_threshold=threshold))
-    run = inputs.packet_stream(spark, sf_dir).writeStream.foreachBatch(rolling)
-    run = run.option("checkpointLocation", f"{folder}/log").trigger(availableNow=True)
-    run.start().awaitTermination()
-    return rolling.verdicts(spark).select(*controller.VERDICT)
+    stream = inputs.packet_files(spark, sf_dir, f"{folder}/in")
+    run = stream.writeStream.foreachBatch(rolling)
+    run = run.option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    run.awaitTermination()
+    rolling.drain(inputs.packets(spark, sf_dir).limit(0), inputs.STREAM_FILES)
+    return rolling
+
+
+def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all packets, from four batches in the order of time."""
+    return _rolled(spark, sf_dir).verdicts(spark).select(*controller.VERDICT)
 
 
 QUERIES: dict[str, Query] = {

@@ -128,6 +128,25 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_events(spark, sf_dir, PACKETS).withColumn("ts", _as_instant("ts"))
 
 
+STREAM_FILES = 4
+
+
+def packet_files(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The packets again, as a stream of files in the order of time, one a batch."""
+    rows = packets(spark, sf_dir)
+    at = F.unix_micros("ts")
+    cuts = rows.agg(
+        F.expr(f"percentile_approx(unix_micros(ts), array({', '.join(str(k / STREAM_FILES) for k in range(1, STREAM_FILES))}))")
+    ).first()[0] or []
+    edges = [None, *cuts, None]
+    for number, (low, high) in enumerate(zip(edges, edges[1:])):
+        part = rows if low is None else rows.where(at > low)
+        part = part if high is None else part.where(at <= high)
+        part.coalesce(1).write.parquet(f"{folder}/{number}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+    return stream.option("recursiveFileLookup", True).parquet(folder)
+
+
 def packet_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packets again, as a stream of the files of ``events``."""
     schema = table(spark, sf_dir, "events").schema

@@ -28,7 +28,7 @@ from floodsift.session import settle
 
 LINKS = (
     "link_id string, anchor_us bigint, latest_us bigint, closed_w bigint, "
-    "earlier_w bigint, earlier_over boolean, earlier_overs bigint"
+    "quiet bigint, earlier_w bigint, earlier_over boolean, earlier_overs bigint"
 )
 COUNTS = "link_id string, generation bigint, mode boolean, dim int, residue bigint, cnt bigint"
 OPEN = "batch bigint, link_id string, last_w bigint"
@@ -37,15 +37,27 @@ TABLES = {"links": LINKS, "counts": COUNTS, "open": OPEN}
 
 @dataclass
 class RollingFilter:
-    """``folder`` must be shared by all executors. Verdicts come when a window closes."""
+    """``folder`` must be shared by all executors. Verdicts come when a window closes.
+
+    Every link closes its windows by its own clock, so a link whose clock is ahead has no say
+    elsewhere. A link without packets in ``idle_batches`` batches in a row has its open windows
+    closed. ``jump_us`` bounds by how much a batch may put a link's clock forward, so that a single
+    wrong time cannot close the windows of the packets that follow it. ``late_policy`` says whether
+    packets of closed windows are forwarded or dropped; they are kept apart in either case.
+    """
 
     folder: str
     settings: FilterSettings
     lateness_us: int = 0
+    idle_batches: int = 10
+    jump_us: int | None = None
+    late_policy: str = "forward"
 
     def __post_init__(self) -> None:
         if self.settings.volume_threshold is None:
             raise ValueError("a stream needs a fixed volume threshold")
+        if self.late_policy not in ("drop", "forward"):
+            raise ValueError(f"a policy is 'drop' or 'forward', not {self.late_policy!r}")
 
     # --- stored tables ---
 
@@ -68,13 +80,13 @@ class RollingFilter:
         return spark.read.parquet(f"{self.folder}/verdicts").drop("batch")
 
     def late_packets(self, spark: SparkSession) -> DataFrame:
-        """Packets of windows that had closed; to be forwarded unjudged."""
+        """Packets of windows that had closed; not judged."""
         return spark.read.parquet(f"{self.folder}/late").drop("batch")
 
     def surviving_frames(self, spark: SparkSession) -> DataFrame:
-        """Frames let through: judged, late, and those forwarded by policy."""
+        """Frames let through: judged ones, and those forwarded by policy."""
         passed = self.verdicts(spark).where("pass").select(*FRAMES.names)
-        late = self.late_packets(spark).select(*FRAMES.names)
+        late = self.late_packets(spark).select(*FRAMES.names).where(F.lit(self.late_policy == "forward"))
         other = spark.read.schema(FRAMES).option("recursiveFileLookup", True)
         return passed.unionByName(late).unionByName(other.parquet(f"{self.folder}/forwarded"))
 
@@ -88,14 +100,18 @@ class RollingFilter:
         }
         forwarded = [name for name, policy in policies.items() if policy == "forward"]
         others = wide.where(F.col("packet_class").isin(forwarded)).select(*FRAMES.names)
-        others.write.mode("overwrite").parquet(self._path("forwarded", batch_id))
-        self(wide.where("packet_class = 'judged'").drop("packet_class"), batch_id)
-        wide.unpersist()
+        try:
+            others.write.mode("overwrite").parquet(self._path("forwarded", batch_id))
+            self(wide.where("packet_class = 'judged'").drop("packet_class"), batch_id)
+        finally:
+            wide.unpersist()
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         held = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        self._advance(held, batch_id, close_all=False)
-        held.unpersist()
+        try:
+            self._advance(held, batch_id, close_all=False)
+        finally:
+            held.unpersist()
 
     def drain(self, packets: DataFrame, batch_id: int) -> None:
         """Take the rest of a finite stream as batch ``batch_id`` and close every window."""
@@ -128,10 +144,14 @@ class RollingFilter:
             F.max(micros(F.col("ts"))).alias("last_us"),
             F.count(F.lit(1)).alias("packets"),
         )
+        furthest = F.col("last_us")
+        if self.jump_us is not None:
+            furthest = F.least(furthest, F.coalesce("latest_us", "first_us") + self.jump_us)
         merged = known.join(met, "link_id", "full").select(
             "link_id",
             F.coalesce("anchor_us", "first_us").alias("anchor_us"),
-            F.greatest("latest_us", "last_us").alias("latest_us"),
+            F.greatest("latest_us", furthest).alias("latest_us"),
+            F.when(F.col("packets") > 0, 0).otherwise(F.col("quiet") + 1).cast("bigint").alias("quiet"),
             F.coalesce("closed_w", F.lit(-1).cast("bigint")).alias("closed_w"),
             "earlier_w",
             "earlier_over",
@@ -155,15 +175,16 @@ class RollingFilter:
 
     def _closing_lines(self, links: DataFrame, waiting: DataFrame, close_all: bool) -> DataFrame:
         """Add ``line``, the last window of each link that is closed now, empty or not."""
+        ends = waiting.groupBy("link_id").agg(F.max("last_w").alias("end_w"))
+        lined = links.join(ends, "link_id", "left")
         if close_all:
-            ends = waiting.groupBy("link_id").agg(F.max("last_w").alias("line"))
-            lined = links.join(ends, "link_id", "left")
+            line = F.col("end_w")
         else:
-            latest = links.agg(F.max("latest_us")).first()[0] or 0
-            since = F.lit(latest - self.lateness_us) - F.col("anchor_us")
+            since = F.col("latest_us") - self.lateness_us - F.col("anchor_us")
             size = F.lit(self.settings.window_us).cast("bigint")
-            line = ((since - F.pmod(since, size)) / size).cast("bigint") - 1
-            lined = links.withColumn("line", line)
+            by_clock = ((since - F.pmod(since, size)) / size).cast("bigint") - 1
+            line = F.when(F.col("quiet") >= self.idle_batches, F.greatest("end_w", by_clock)).otherwise(by_clock)
+        lined = lined.withColumn("line", line).drop("end_w")
         return lined.withColumn("line", F.greatest("line", "closed_w"))
 
     def _close(
@@ -211,6 +232,7 @@ class RollingFilter:
                 "anchor_us",
                 "latest_us",
                 F.col("line").alias("closed_w"),
+                "quiet",
                 F.coalesce("last.w", "earlier_w").alias("earlier_w"),
                 F.coalesce("last.over", "earlier_over").alias("earlier_over"),
                 (F.col("earlier_overs") + F.coalesce("overs", F.lit(0))).alias("earlier_overs"),

@@ -103,6 +103,32 @@ def test_late_packets_are_kept_apart_and_lateness_waits(spark, tmp_path):
         assert judged == set(range(5)) | ({99} - set(found))
 
 
+def test_a_fast_clock_closes_nothing_elsewhere(spark, tmp_path):
+    ahead = [packet("b", 100 + n, 3600 + n, 100) for n in range(3)]
+    rows = [packet("a", n, n, 100) for n in range(6)]
+    rolling = RollingFilter(str(tmp_path), SETTINGS)
+    rolling(spark.createDataFrame(ahead + rows[:2], PACKETS), 0)
+    rolling(spark.createDataFrame(rows[2:], PACKETS), 1)
+    rolling.drain(spark.createDataFrame([], PACKETS), 2)
+    assert rolling.late_packets(spark).isEmpty()
+    assert {r.packet_id for r in rolling.verdicts(spark).collect()} == {*range(6), 100, 101, 102}
+
+
+def test_a_wrong_time_moves_a_clock_by_a_bounded_jump(spark, tmp_path):
+    rolling = RollingFilter(str(tmp_path), SETTINGS, jump_us=2_000_000)
+    rolling(spark.createDataFrame([packet("a", 0, 0, 100), packet("a", 50, 5000, 100)], PACKETS), 0)
+    rolling(spark.createDataFrame([packet("a", n, n + 1, 100) for n in range(1, 5)], PACKETS), 1)
+    assert rolling.late_packets(spark).isEmpty()
+
+
+def test_silent_links_are_closed_after_some_batches(spark, tmp_path):
+    rolling = RollingFilter(str(tmp_path), SETTINGS, idle_batches=2)
+    rolling(spark.createDataFrame([packet("a", 0, 0, 100), packet("b", 1, 0, 100)], PACKETS), 0)
+    for n in (1, 2):
+        rolling(spark.createDataFrame([packet("b", n + 1, n / 10, 100)], PACKETS), n)
+    assert [r.packet_id for r in rolling.verdicts(spark).collect()] == [0]
+
+
 def test_a_stream_needs_a_fixed_threshold(tmp_path):
     with pytest.raises(ValueError):
         RollingFilter(str(tmp_path), replace(SETTINGS, volume_threshold=None))
