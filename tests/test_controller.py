@@ -1,3 +1,4 @@
+import re
 from dataclasses import replace
 from datetime import datetime
 
@@ -172,3 +173,11 @@ def test_one_shuffle_estimates_equal_a_stored_sketch(spark, sf_dir):
     assert {tuple(r) for r in own.collect()} == {tuple(r) for r in asked.select(*own.columns).collect()}
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(link_id") - plan.count("residue") <= 1
+
+
+def test_only_frames_of_query_windows_are_shuffled(spark, sf_dir):
+    settings = replace(inputs.SETTINGS, broadcast_rows=1)
+    kept = controller.filter_frames(inputs.frames(spark, sf_dir), settings)
+    plan = kept._sc._jvm.PythonSQLUtils.explainString(kept._jdf.queryExecution(), "formatted")
+    exchanges = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert sum(bool(re.search(r"\bframe#", columns)) for columns in exchanges) == 1
