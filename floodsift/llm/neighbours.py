@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by collision counting.
 
 Every vector is projected on random lines, one number a line, and each line is a sorted array. A
-query expands a window around its own projection on every line, doubling its width round by round;
+query expands a window around its own projection on every line, wider round by round;
 a vector that falls into the windows of enough lines is verified with the exact inner product.
 """
 
@@ -11,10 +11,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-LINES = 24
-COLLISIONS = 12  # lines on which a vector must be inside the window
-FIRST_WIDTH = 0.25  # of the first window, in standard deviations of the projections
-SPARE = 0.08  # share of a block's vectors verified at least
+LINES = 96
+COLLISIONS = 70  # lines on which a vector must be inside the window
+FIRST_WIDTH = 0.7  # of the first window, in standard deviations of the projections
+GROWTH = 1.15  # of the windows, round by round
+SPARE = 0.2  # share of a block's vectors verified at least
 BLOCK = 8192  # vectors in a block
 QUERIES = 1024  # queries in a block
 SEED = 11
@@ -36,25 +37,24 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, top:
     at = vectors @ lines[:-1] + lift[:, None] * lines[-1]
     norms = np.maximum(np.sqrt((queries**2).sum(axis=1)), 1e-300)
     spots = (queries / norms[:, None] * top) @ lines[:-1]
-    order = np.argsort(at, axis=0, kind="stable")
-    arrays = np.take_along_axis(at, order, axis=0)
+    order = list(np.argsort(at.T, axis=1, kind="stable"))
+    arrays = [line[o] for line, o in zip(at.T, order)]
     unit = at.std(axis=0) * FIRST_WIDTH + 1e-12
     enough = min(n, k + 1 + int(spare * n))
     for q in range(len(queries)):
-        low = high = np.array([np.searchsorted(arrays[:, j], spots[q, j]) for j in range(LINES)])
-        hits, width = np.zeros(n, np.int32), unit.copy()
+        low = high = np.array([a.searchsorted(x) for a, x in zip(arrays, spots[q])])
+        hits, width = np.zeros(n, np.int64), unit
         while True:
-            new_low = np.array([np.searchsorted(arrays[:, j], spots[q, j] - width[j]) for j in range(LINES)])
-            new_high = np.array([np.searchsorted(arrays[:, j], spots[q, j] + width[j], "right") for j in range(LINES)])
-            new_low, new_high = np.minimum(new_low, low), np.maximum(new_high, high)
-            rows = [order[new_low[j] : low[j], j] for j in range(LINES)]
-            rows += [order[high[j] : new_high[j], j] for j in range(LINES)]
-            hits += np.bincount(np.concatenate(rows), minlength=n).astype(np.int32)
+            new_low = np.array([a.searchsorted(x) for a, x in zip(arrays, spots[q] - width)])
+            new_high = np.array([a.searchsorted(x, "right") for a, x in zip(arrays, spots[q] + width)])
+            rows = [o[x:y] for o, x, y in zip(order, new_low, low)]
+            rows += [o[x:y] for o, x, y in zip(order, high, new_high)]
+            hits += np.bincount(np.concatenate(rows), minlength=n)
             low, high = new_low, new_high
             found = np.flatnonzero(hits >= COLLISIONS)
             if len(found) >= enough or (low == 0).all() and (high == n).all():
                 break
-            width = width * 1.25
+            width = width * GROWTH
         scores = np.array([float(np.dot(vectors[r], queries[q])) for r in found]) if len(found) < 64 else vectors[found] @ queries[q]
         if len(found) > 4 * k:
             part = np.partition(-scores, 4 * k)[4 * k]
