@@ -2,4 +2,66 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from floodsift.llm import mix
+
+_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+PARETO_MIX = f"""
+WITH split AS (
+  SELECT doc_id, coalesce('s' || source, 'z') AS src,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+    ('0x' || substr(md5('{mix.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, {mix.KEY_BITS // 4}))::BIGINT AS u
+  FROM documents),
+docs AS (
+  SELECT doc_id, src, len(w)::BIGINT AS size, u,
+    CASE WHEN len(w) = 0 THEN 0
+      ELSE least({mix.CLASSES - 1}, {mix.CLASSES} * len(list_distinct(w)) // len(w)) END AS class
+  FROM split),
+sources AS (
+  SELECT src, sum(size)::BIGINT AS s, [5, 2, 1][(row_number() OVER (ORDER BY src) - 1) % 3 + 1] AS w
+  FROM docs GROUP BY src),
+lines AS (
+  SELECT *, row_number() OVER (ORDER BY s / w, src) AS rank,
+    (sum(s) OVER () - {mix.CAP} * coalesce(sum(s) OVER (ORDER BY s / w, src {_BEFORE}), 0))::BIGINT::DOUBLE
+      / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY s / w, src {_BEFORE}), 0))::BIGINT AS line
+  FROM sources),
+targets AS (
+  SELECT src, s AS source_size, least({mix.CAP}.0::DOUBLE * s, coalesce(
+    (SELECT arg_min(line, rank) FILTER (WHERE {mix.CAP} * s > line * w) FROM lines) * w,
+    {mix.CAP}.0::DOUBLE * s)) AS target
+  FROM lines),
+classes AS (
+  SELECT src, class, sum(size)::BIGINT AS words, {mix.CLASSES} + class AS gain FROM docs GROUP BY src, class),
+rates AS (
+  SELECT c.*, source_size, target,
+    (target - ({mix.CAP} * coalesce(sum(words) OVER (PARTITION BY src ORDER BY class DESC {_BEFORE}), 0))::BIGINT)
+      / nullif((sum(words * gain) OVER (PARTITION BY src)
+        - coalesce(sum(words * gain) OVER (PARTITION BY src ORDER BY class DESC {_BEFORE}), 0))::BIGINT, 0) AS rate
+  FROM classes c JOIN targets USING (src)),
+copies AS (
+  SELECT *, least({mix.CAP}.0::DOUBLE, coalesce(
+    (arg_max(rate, class) FILTER (WHERE rate * gain <= {mix.CAP}) OVER (PARTITION BY src)) * gain,
+    {mix.CAP}.0::DOUBLE)) AS copies
+  FROM rates),
+plan AS (
+  SELECT src, class, words, source_size, target, floor(copies)::BIGINT AS whole, copies - floor(copies) AS p FROM copies),
+missing AS (
+  SELECT src, first(target) - sum(words * whole)::BIGINT AS missing FROM plan GROUP BY src),
+odds AS (
+  SELECT d.*, whole, source_size, target, p,
+    ((u::DOUBLE + 0.5::DOUBLE) / {1 << mix.KEY_BITS}::DOUBLE) AS x
+  FROM docs d JOIN plan USING (src, class)),
+keyed AS (
+  SELECT *, CASE WHEN p > 0 THEN floor(ratio / (1.0::DOUBLE + ratio) * {1 << mix.KEY_BITS}::DOUBLE)::BIGINT END AS key
+  FROM (SELECT *, CASE WHEN p > 0 THEN (x / (1.0::DOUBLE - x)) / (p / (1.0::DOUBLE - p)) END AS ratio FROM odds)),
+sums AS (
+  SELECT src, key, sum(size)::BIGINT AS words FROM keyed WHERE key IS NOT NULL AND size > 0 GROUP BY src, key),
+ends AS (
+  SELECT src, max(key) AS last FROM (
+    SELECT src, key, words, sum(words) OVER (PARTITION BY src ORDER BY key)::BIGINT AS upto FROM sums)
+  JOIN missing USING (src) WHERE upto * 2 - words <= missing * 2 GROUP BY src)
+SELECT doc_id, size, source_size, target,
+  (size * (whole + CASE WHEN key <= last THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM keyed LEFT JOIN ends USING (src)"""
+
+ORACLES: dict[str, str] = {"op1_pareto_mix": PARETO_MIX}
