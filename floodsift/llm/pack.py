@@ -24,7 +24,7 @@ from floodsift.session import stage
 CAPACITY = 4096
 END_ID = 1
 CACHED_WORDS = 800_000  # about 160 MB; all are forgotten when there are more
-SLICE_ROWS = 50_000
+SLICE_ROWS = 2_000
 
 
 class SegmentTree:
