@@ -42,7 +42,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that equal or nearly equal an earlier one."""
-    cleaned = lines.drop_near_lines(table(spark, sf_dir, "documents"))
+    cleaned = lines.drop_near_lines(table(spark, sf_dir, "documents"), short=True)
     return cleaned.select("doc_id", "text", F.col("_lines_removed").alias("lines_removed"))
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from floodsift.llm import queries
 
 
 def shingles(text):
@@ -40,3 +41,37 @@ def test_near_duplicates_are_those_of_the_exact_similarity(spark):
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert near > 30
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(least))
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def plain_lines(texts):
+    seen, out = [], []
+    for text in texts:
+        kept = []
+        for line in text.split("\n"):
+            near = lambda x: x == line or plain_distance(x, line) <= min(2, min(len(x), len(line)) // 12)
+            if not (line.strip() and any(near(x) for x in seen)):
+                kept.append(line)
+            seen.append(line)
+        out.append("\n".join(kept))
+    return out
+
+
+def test_short_lines_go_as_well(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    lines = ["All rights reserved.", "a", "", "  ", "Seite 1", "Seite 2"]
+    for _ in range(40):
+        line = "".join(rng.choice(list("abc "), rng.integers(3, 30)))
+        lines += [line, line[:-1], line + "x", line[:4] + "y" + line[4:-1] + "z"]
+    texts = ["\n".join(rng.choice(lines, 6)) for _ in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in queries.op4_line_edit_join(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(plain_lines(texts)))
