@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 CELLS = 1 << 16  # hashed trigrams
 SMOOTHING = 0.05
-FIT_ROWS = 60_000  # labelled documents that the model is fitted on, at most about so many
+FIT_ROWS = 60_000  # labelled documents of each language that the model is fitted on, at most about so many
 ROUNDS = 15
 PENALTY = 8.0  # nats a language must gain, times the logarithm of the number of trigrams
 UNKNOWN = "und"
@@ -28,13 +28,17 @@ def _trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and their trigram probabilities, (CELLS, languages).
 
-    ``labelled`` has ``key``, ``text`` and a non-null ``lang``. Of more than ``fit_rows`` rows a
-    share of about ``fit_rows``, chosen by a hash of the key, is used.
+    ``labelled`` has ``key``, ``text`` and a non-null ``lang``. Of a language with
+    more than ``fit_rows`` rows a share of about ``fit_rows``, chosen by a hash of the key, is used; of
+    the others all rows are. A language's probabilities depend on its own rows only.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = rows.count()
-    if total > fit_rows:
-        rows = rows.where(F.pmod(F.xxhash64("key", F.lit("fit")), F.lit(1 << 20)) < int(fit_rows / total * (1 << 20)))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fit_rows).collect()
+    share = F.lit(1 << 40)
+    for lang, n in counts:
+        share = F.when(F.col("lang") == lang, int(fit_rows / n * (1 << 40))).otherwise(share)
+    if counts:
+        rows = rows.where(F.pmod(F.xxhash64("key", F.lit("fit")), F.lit(1 << 40)) < share)
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
