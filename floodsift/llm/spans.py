@@ -1,9 +1,15 @@
-"""Removal of repeated runs of sentences across a corpus."""
+"""Removal of repeated runs of sentences, and of words, across a corpus.
+
+Runs of whole sentences are compared as they are. For passages with fewer than two whole sentences,
+runs of words are chosen by their hashes: of every few consecutive runs the one with the least hash,
+so that a repeated passage has the same runs in all its places, wherever its sentences begin.
+"""
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -12,6 +18,10 @@ from floodsift.session import stage
 
 SENTENCES = 3  # a span
 PAIR_WORDS = 20  # two sentences of so many words are a span as well
+RUN_WORDS = 20  # of a run that does not heed sentences
+CHOICE = 8  # consecutive runs of which one at least is chosen; repeats of RUN_WORDS + CHOICE - 1 words are always found
+KNOWN = 200_000  # words whose hashes are kept
+_WORD = re.compile(r"\S+")
 _END = re.compile(r"(?<=[.!?])(?=\s)|(?<=\n)(?=.)", re.S)
 
 
@@ -40,11 +50,44 @@ def span_hashes(parts: list[str]) -> list[tuple[int, int, int]]:
     return out
 
 
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(x, width).min(axis=1)
+
+
+def word_runs(text: str, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the chosen runs of words, and at which word each starts; case does not count.
+
+    ``known`` keeps the hashes of words.
+    """
+    found = text.lower().split()
+    n = len(found) - RUN_WORDS + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for w in found:
+        if w not in known:
+            known[w] = xxhash.xxh3_64_intdigest(w, 2)
+    h = np.array([known[w] for w in found], np.uint64)
+    x = np.zeros(n, np.uint64)
+    for k in range(RUN_WORDS):
+        x = x * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    width = min(CHOICE, n)
+    pad = np.full(width - 1, 0, np.uint64)
+    most = ~_least(~np.concatenate([pad, _least(x, width), pad]), width)
+    at = np.flatnonzero(most == x)
+    return x[at].view(np.int64), at
+
+
 def _hashed(batches):
+    known: dict[str, int] = {}
     for batch in batches:
+        if len(known) > KNOWN:
+            known = {}
         keys, hashes = [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found = {h for h, _, _ in span_hashes(sentences(text))}
+            found.update(word_runs(text, known)[0].tolist())
             keys += [key] * len(found)
             hashes += found
             if len(keys) > 200_000:
@@ -53,7 +96,7 @@ def _hashed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64())], names=["key", "h"])
 
 
-def _kept(text: str, repeated: set[int]) -> tuple[str, int, int]:
+def _kept(text: str, repeated: set[int], known: dict[str, int]) -> tuple[str, int, int]:
     parts = sentences(text)
     seen, gone = set(), set()
     for h, first, last in span_hashes(parts):
@@ -61,15 +104,48 @@ def _kept(text: str, repeated: set[int]) -> tuple[str, int, int]:
             gone.update(range(first, last + 1))
         seen.add(h)
     blank = {k for k, part in enumerate(parts) if not part.strip()}
-    left = "".join(p for k, p in enumerate(parts) if k not in gone) if gone else text
-    return left, len(parts) - len(blank), len(gone - blank)
+    hs, at = word_runs(text, known)
+    again = len(set(hs.tolist())) < len(hs)
+    cut: list[tuple[int, int]] = []
+    if again or not repeated.isdisjoint(hs.tolist()):
+        starts = np.cumsum([0, *map(len, parts)])
+        places = [m.span() for m in _WORD.finditer(text)]
+        of = np.searchsorted(starts, [a for a, _ in places], "right") - 1
+        before: dict[int, int] = {}
+        for h, k in zip(hs.tolist(), at.tolist()):
+            last = k + RUN_WORDS - 1
+            # Words that one sentence repeats are its own, and so are runs that overlap.
+            if h in repeated or before.get(h, len(parts)) < of[k]:
+                if cut and k <= cut[-1][1] + 1:
+                    cut[-1] = cut[-1][0], last
+                else:
+                    cut.append((k, last))
+            before.setdefault(h, int(of[last]))
+    if not cut:
+        left = "".join(p for k, p in enumerate(parts) if k not in gone) if gone else text
+        return left, len(parts) - len(blank), len(gone - blank)
+    stays = np.ones(len(text), bool)
+    for k in gone:
+        stays[starts[k] : starts[k + 1]] = False
+    touched = set(gone)
+    for first, last in cut:
+        begin, end = places[first][0], places[last][1]
+        # One of the two blanks around the words is enough, but a line feed stays.
+        after = places[last + 1][0] if last + 1 < len(places) else len(text)
+        stays[begin : end if "\n" in text[end:after] else after] = False
+        touched.update(of[first : last + 1].tolist())
+    edges = np.flatnonzero(np.diff(np.r_[False, stays, False].astype(np.int8))).tolist()
+    left = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+    return left, len(parts) - len(blank), len(touched - blank)
 
 
 def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, text, n_sentences, n_removed): texts without sentences of any non-first repeated span.
+    """(id, text, n_sentences, n_removed): texts without any non-first repeated span.
 
     The first span of a hash is the earliest in the document with the smallest id; every sentence of
-    the others goes, and spans are judged on the input. Null texts are empty, rows of one id count
+    the others goes, and spans are judged on the input. So do the words of chosen runs, up to which
+    at most CHOICE - 1 words of either end of a repeated passage may stay; within a document these
+    count from one sentence to later ones. ``n_removed`` counts the sentences that lose anything. Null texts are empty, rows of one id count
     as one document, and a null id comes last. Hashes are counted with map-side aggregation before
     anything is joined; documents only meet the repeated hashes of their own.
     """
@@ -86,9 +162,12 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     own = hits.groupBy("key").agg(F.collect_set("h").alias("hashes"))
 
     def clean(batches):
+        known: dict[str, int] = {}
         for batch in batches:
+            if len(known) > KNOWN:
+                known = {}
             rows = [
-                _kept(text, set(hashes or ()))
+                _kept(text, set(hashes or ()), known)
                 for text, hashes in zip(batch.column("_text").to_pylist(), batch.column("hashes").to_pylist())
             ]
             texts, n, gone = zip(*rows) if rows else ((), (), ())
