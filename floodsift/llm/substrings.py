@@ -7,6 +7,8 @@ arrays in the task that owns it, which tells the smallest document of every stri
 
 Documents are dealt to batches by their id and stay there, in a bucketed table. Batches send packed
 columns to the tasks that own hash ranges and get packed answers; no row is sent for each anchor.
+Of an anchor with very many different texts, each string goes to the owner of its own hash, so that no
+task has all of them.
 What a batch sends is distinct within it, so a passage of very many documents is sent once a batch.
 """
 
@@ -35,7 +37,8 @@ JOINED = 6  # different texts in one suffix array
 HALF = STRINGS // 2  # strings that start so far before an anchor have it in their right part
 CELLS = 1 << 21  # of a matrix of suffix arrays
 NO_ID = (1 << 63) - 1  # of documents without one
-SETTLED, SORTED, SPLIT = 0, 1, 2  # of an anchor: its document is known, its texts are sorted, or they are split first
+CROWD = 1024  # different texts around one anchor, about, that go to one owner
+SETTLED, SORTED, SPLIT, SPREAD = 0, 1, 2, 3  # of an anchor: its document is known, its texts are sorted, they are split first, or each string goes to an owner of its own
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -166,13 +169,15 @@ class Batch:
         # An anchor with too many texts in this batch alone is not told apart by them.
         both = np.unique(np.stack([h, text], axis=1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
         anchor, n = np.unique(both[:, 0], return_counts=True)
-        many = anchor[n > CONTEXTS]
+        many, crowd = anchor[n > CONTEXTS], n[n > CONTEXTS]
         text[np.isin(h, many)] = 0
         order = np.lexsort((text, h))
         new = np.r_[True, (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])][: len(h)]
         self.entry = np.empty(len(h), np.int64)
         self.entry[order] = np.cumsum(new) - 1
         self.h, self.text = h[order][new], text[order][new]
+        self.crowd = np.ones(len(self.h), np.int32)
+        self.crowd[np.isin(self.h, many)] = crowd  # either is in the order of the anchors
         keys = np.array([k for k, _ in self.docs], np.int64)
         self.first = np.full(len(self.h), NO_ID)
         np.minimum.at(self.first, self.entry, keys[self.of] if len(self.of) else none)
@@ -180,7 +185,7 @@ class Batch:
 
     def ask(self, batch: int) -> pa.Table:
         rows = [
-            (owner, batch, 1, self.h[s].tobytes(), self.text[s].tobytes(), self.first[s].tobytes(), None)
+            (owner, batch, 1, self.h[s].tobytes(), self.text[s].tobytes(), self.first[s].tobytes(), self.crowd[s].tobytes())
             for owner, s in _split(self.owner)
         ]
         return _rows(_PACKED, rows)
@@ -195,7 +200,7 @@ class Batch:
 
     def strings(self, state: np.ndarray):
         """(document, start, end, anchor, first, single) of the texts to be compared, in order."""
-        for k in np.flatnonzero(state[self.entry] != SETTLED).tolist():
+        for k in np.flatnonzero((state[self.entry] == SORTED) | (state[self.entry] == SPLIT)).tolist():
             d, p = int(self.of[k]), int(self.at[k])
             n, h = len(self.docs[d][1]), int(self.h[self.entry[k]])
             low, high = max(0, p - STRINGS + 1), min(n, p + SPAN)
@@ -212,6 +217,18 @@ class Batch:
             if begin + SPAN <= n:
                 yield d, begin, high, xxhash.xxh3_64_intdigest(raw[p : p - HALF + 1 + SPAN], 4)
 
+    def spread(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, start and hash of every string around the anchors that are spread."""
+        of, at, hs = [], [], []
+        for k in np.flatnonzero(state[self.entry] == SPREAD).tolist():
+            d, p = int(self.of[k]), int(self.at[k])
+            raw = self.docs[d][1]
+            for begin in range(max(0, p - STRINGS + 1), min(p, len(raw) - SPAN) + 1):
+                of.append(d)
+                at.append(begin)
+                hs.append(xxhash.xxh3_64_intdigest(raw[begin : begin + SPAN], 5))
+        return np.array(of, np.int64), np.array(at, np.int64), np.array(hs, np.uint64)
+
     def send(self, dealer: Dealer, batch: int, state: np.ndarray) -> pa.Table:
         least: dict[tuple[int, bytes], int] = {}
         for d, low, high, h in self.strings(state):
@@ -227,6 +244,12 @@ class Batch:
                 owner, batch, 2, hs[s].tobytes(), np.array([least[x] for x in mine], "<i8").tobytes(),
                 np.array([len(x[1]) for x in mine], "<i4").tobytes(), b"".join(x[1] for x in mine),
             ))
+        of, _, strings = self.spread(state)
+        one, run = np.unique(strings, return_inverse=True)
+        smallest = np.full(len(one), NO_ID)
+        np.minimum.at(smallest, run, np.array([k for k, _ in self.docs], np.int64)[of])
+        for owner, s in _split(dealer.owner(one)):
+            rows.append((owner, batch, 3, one[s].tobytes(), smallest[s].tobytes(), None, None))
         return _rows(_PACKED, rows)
 
 
@@ -236,6 +259,7 @@ def _resolve(table: pa.Table) -> pa.Table:
     h = np.concatenate([_array(r["a"], "<u8") for r in rows])
     text = np.concatenate([_array(r["b"], "<u8") for r in rows])
     doc = np.concatenate([_array(r["c"], "<i8") for r in rows])
+    crowd = np.concatenate([_array(r["d"], "<i4") for r in rows]).astype(np.int64)
     order = np.lexsort((text, h))
     hs, ts = h[order], text[order]
     edge = np.r_[True, hs[1:] != hs[:-1]][: len(hs)]
@@ -244,6 +268,9 @@ def _resolve(table: pa.Table) -> pa.Table:
     different = np.add.reduceat(np.r_[True, (ts[1:] != ts[:-1]) | edge[1:]].astype(np.int64), first)
     state = np.where(different == 1, SETTLED, np.where(different <= CONTEXTS, SORTED, SPLIT))
     state[np.minimum.reduceat(ts, first) == 0] = SPLIT
+    # Texts that batches have told apart are counted once, those of crowded anchors in every batch.
+    texts = different + np.add.reduceat(np.where(ts == 0, crowd[order], 0), first)
+    state[(state == SPLIT) & (texts > CROWD)] = SPREAD
     least = np.minimum.reduceat(doc[order], first)
     states, docs = np.empty(len(h), np.int8), np.empty(len(h), np.int64)
     states[order], docs[order] = state[run], least[run]
@@ -341,8 +368,26 @@ def _compare(groups, count, width, texts, doc, out) -> None:
             out[rows] = answer[i, t]
 
 
+def _spread(rows: list[dict]) -> list[tuple]:
+    """To every batch, the smallest documents of its strings."""
+    h = np.concatenate([np.zeros(0, np.uint64)] + [_array(r["a"], "<u8") for r in rows])
+    one, run = np.unique(h, return_inverse=True)
+    smallest = np.full(len(one), NO_ID)
+    np.minimum.at(smallest, run, np.concatenate([np.zeros(0, np.int64)] + [_array(r["b"], "<i8") for r in rows]))
+    out, at = [], 0
+    for r in rows:
+        n = len(r["a"]) // 8
+        out.append((r["owner"], r["batch"], 3, zlib.compress(smallest[run[at : at + n]].tobytes(), 1), None, None, None))
+        at += n
+    return out
+
+
 def _sort(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
+    answers = _spread([r for r in rows if r["step"] == 3])
+    rows = [r for r in rows if r["step"] == 2]
+    if not rows:
+        return _rows(_PACKED, answers)
     texts: list[bytes] = []
     for r in rows:
         ends = np.cumsum(_array(r["c"], "<i4"))
@@ -354,7 +399,7 @@ def _sort(table: pa.Table) -> pa.Table:
         n = len(r["c"]) // 4
         out.append((r["owner"], r["batch"], 2, zlib.compress(found[at : at + n].tobytes(), 1), None, None, None))
         at += n
-    return _rows(_PACKED, out)
+    return _rows(_PACKED, out + answers)
 
 
 def _remove(dealer: Dealer, table: pa.Table, answers: pa.Table, schema: pa.Schema) -> pa.Table:
@@ -367,7 +412,14 @@ def _remove(dealer: Dealer, table: pa.Table, answers: pa.Table, schema: pa.Schem
         if doc[batch.entry[k]] < key:
             low, high = max(0, p - STRINGS + 1), min(len(raw), p + SPAN)
             starts[d].append((low, high))
-    if (state != SETTLED).any():
+    of, begin, strings = batch.spread(state)
+    if len(strings):
+        one, run = np.unique(strings, return_inverse=True)
+        by = {r["owner"]: r["a"] for r in answers.to_pylist() if r["step"] == 3}
+        smallest = np.concatenate([np.frombuffer(zlib.decompress(by[o]), "<i8") for o, _ in _split(dealer.owner(one))])
+        for k in np.flatnonzero(smallest[run] < np.array([key for key, _ in batch.docs], np.int64)[of]).tolist():
+            starts[of[k]].append((int(begin[k]), int(begin[k]) + SPAN))
+    if ((state == SORTED) | (state == SPLIT)).any():
         names: dict[tuple[int, bytes], int] = {}
         texts = list(batch.strings(state))
         for d, low, high, h in texts:
@@ -376,7 +428,7 @@ def _remove(dealer: Dealer, table: pa.Table, answers: pa.Table, schema: pa.Schem
         names = {x: i for i, x in enumerate(order)}
         owner = dealer.owner(np.array([h for h, _ in order], np.uint64))
         by = {r["owner"]: r["a"] for r in answers.to_pylist() if r["step"] == 2}
-        least = np.concatenate([
+        least = np.concatenate([np.zeros((0, STRINGS), np.int64)] + [
             np.frombuffer(zlib.decompress(by[o]), "<i8").reshape(-1, STRINGS) for o, _ in _split(owner)
         ])
         for d, low, high, h in texts:
