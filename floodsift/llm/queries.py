@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from floodsift.llm import language, lines, mix, multiset, neighbours, pack, simhash, spans, substrings, toxicity
+from floodsift.llm import (
+    filter_audit, language, lines, mix, multiset, neighbours, pack, resampling, simhash, spans, substrings, toxicity,
+    transducer,
+)
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -82,6 +85,28 @@ def op10_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_gray_code_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from every source, at each step of all their orders."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_radix_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn by their likeness to the benchmark's texts."""
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every whole text and of the text decoded from them."""
+    coded = transducer.decode(transducer.encode(table(spark, sf_dir, "documents"), TOKENIZER), TOKENIZER)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -95,5 +120,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_noisy_or_toxicity,
         op9_multiset_fingerprint,
         op10_pigeonhole_simhash,
+        op11_gray_code_audit,
+        op12_radix_resampling,
+        op13_streaming_bpe,
     )
 }
