@@ -8,20 +8,22 @@ from pyspark.sql import DataFrame, functions as F
 
 from floodsift.functions.hashing import DIMENSIONS, SketchShape
 from floodsift.operators.decode import features, with_features
-from floodsift.operators.lookup import BROADCAST_ROWS, Lookup, attach, measure
+from floodsift.operators.lookup import BROADCAST_ROWS, HOT_ROWS, Lookup, attach, attach_in_place
+from floodsift.operators.packed import POSITION_BITS, Packed, pack, read
 from floodsift.operators.sketch import estimate, packet_residues, residue_counts
-from floodsift.operators.volume import SECOND, link_anchors, volumes, window_state, with_window
+from floodsift.operators.volume import SECOND, link_anchors, volumes, window_number, window_state, with_window
 from floodsift.session import settle, stage
 
 ESTIMATES = [f"est_{name}" for name in DIMENSIONS.values()]
-# A bitmap covers 32,768 windows in 512 words; beyond 256 MB of them windows are joined instead.
-BLOCK_BITS, BLOCK_WORDS, BITMAP_BYTES = 15, 512, 256 << 20
 VERDICT = ["link_id", "packet_id", "w", "mode", *ESTIMATES, "score", "pass"]
 
 
 @dataclass(frozen=True)
 class FilterSettings:
-    """``volume_threshold=None`` takes the mean window volume of each link."""
+    """``volume_threshold=None`` takes the mean window volume of each link.
+
+    ``broadcast_rows`` and ``broadcast_bytes`` bound what is sent to every executor.
+    """
 
     window_us: int = SECOND
     volume_threshold: int | None = 100_000
@@ -30,6 +32,7 @@ class FilterSettings:
     malformed_policy: str = "drop"
     unknown_policy: str = "forward"
     broadcast_rows: int = BROADCAST_ROWS
+    broadcast_bytes: int = 256 << 20
 
     def __post_init__(self) -> None:
         for policy in (self.malformed_policy, self.unknown_policy):
@@ -39,19 +42,60 @@ class FilterSettings:
 
 @dataclass(frozen=True)
 class Knowledge:
-    """All that a verdict needs: where windows start, their modes, and estimates by residue."""
+    """All that a verdict needs: where windows start, which are involved, and estimates by residue."""
 
     anchors: Lookup
-    state: Lookup
-    estimates: Lookup
+    windows: Packed
+    estimates: Packed
 
 
 def tag(packets: DataFrame, anchors: Lookup, state: Lookup, settings: FilterSettings) -> DataFrame:
-    """Add ``w``, ``mode`` and ``generation``."""
+    """Add ``w``, ``mode`` and ``generation``, of any window."""
     windowed = with_window(packets, anchors, settings.window_us)
     return attach(windowed, state, ["link_id", "w"], "packet_id", settings.broadcast_rows)
 
 
+def involved_windows(states: DataFrame) -> Packed:
+    """QUERY windows and the learnt ones they are judged with, in blocks of 65,536 windows of a link.
+
+    Every other window needs no lookup at all. A window takes eight bytes and a little more, and
+    blocks without one have no row.
+    """
+    asked = states.where("mode").select("link_id", (F.col("generation") - 1).alias("generation")).distinct()
+    needed = states.where(~F.col("mode")).join(asked, ["link_id", "generation"], "left_semi")
+    rows = needed.select("link_id", "w", "generation", "mode").unionByName(
+        states.where("mode").select("link_id", "w", "generation", "mode")
+    )
+    placed = rows.select(
+        "link_id",
+        F.shiftright("w", POSITION_BITS).alias("_block"),
+        F.col("w").bitwiseAND((1 << POSITION_BITS) - 1).cast("int").alias("_at"),
+        (F.col("generation") * 2 + F.col("mode").cast("int")).alias("_value"),
+    )
+    return Packed.measure(pack(placed, ["link_id", "_block"], "_at", "_value", "_windows"), ["_windows"])
+
+
+def locate(
+    packets: DataFrame, anchors: Lookup, windows: Packed, settings: FilterSettings
+) -> DataFrame:
+    """Add ``w``, and for packets of involved windows ``generation`` and ``mode``; no row is moved.
+
+    Anchors and windows are broadcast. If they are more than the settings allow, ``packets`` is read
+    once for every part of them.
+    """
+    starts = anchors.table.select("link_id", "anchor_us")
+    out = attach_in_place(packets, starts, ["link_id"], -(-anchors.rows // BROADCAST_ROWS))
+    w = window_number(F.col("ts"), F.col("anchor_us"), settings.window_us)
+    out = out.withColumn("w", w).drop("anchor_us")
+    out = out.withColumn("_block", F.shiftright("w", POSITION_BITS))
+    parts = -(-windows.bytes // settings.broadcast_bytes)
+    out = attach_in_place(out, windows.table, ["link_id", "_block"], parts)
+    out = read(out, {"_found": ("_windows", F.col("w").bitwiseAND((1 << POSITION_BITS) - 1))})
+    return out.withColumns(
+        {"generation": F.shiftright("_found", 1), "mode": F.col("_found").bitwiseAND(1) == 1}
+    ).drop("_block", "_windows", "_found")
+
+
 def asked_residues(counts: DataFrame) -> DataFrame:
     """Packets of QUERY windows per residue, under the generation they ask."""
     return counts.where("mode").select(
@@ -73,68 +117,80 @@ def estimates_for(counts: DataFrame, shape: SketchShape) -> DataFrame:
     return estimate(learnt, asked_residues(counts), ["link_id", "generation", "dim"], shape)
 
 
+def packed_estimates(counts: DataFrame, shape: SketchShape) -> Packed:
+    """One row per link and asked generation, with the estimates of each dimension by residue."""
+    found = estimates_for(counts, shape)
+    by = ["link_id", "generation", "dim"]
+    each = pack(found, by, "residue", "estimate").groupBy("link_id", "generation").agg(
+        F.map_from_entries(F.collect_list(F.struct("dim", "packed"))).alias("_dims")
+    )
+    asked = asked_residues(counts).where(F.col("dim") == min(DIMENSIONS))
+    weights = asked.groupBy("link_id", "generation").agg(F.sum("packets").alias("packets"))
+    columns = {name: F.col("_dims")[dim].alias(name) for dim, name in DIMENSIONS.items()}
+    rows = each.join(weights, ["link_id", "generation"]).select(
+        "link_id", F.col("generation").alias("_read"), *columns.values(), "packets"
+    )
+    return Packed.measure(rows, list(columns), "packets")
+
+
 def learn(packets: DataFrame, settings: FilterSettings) -> Knowledge:
     """Measure the windows and build what QUERY windows are judged with.
 
     Reads ``packets`` three times, a few columns each; the results are small.
     """
     anchors = link_anchors(packets)
-    windows = settle(volumes(with_window(packets, anchors, settings.window_us)))
-    states = settle(window_state(windows, settings.volume_threshold))
-    columns = ["link_id", "w", "mode", "generation", "packets"]
-    state = measure(states.select(*columns), "packets", settled=True)
-
-    # A learnt window matters only if a QUERY window reads its generation.
-    asked = states.where("mode").select("link_id", (F.col("generation") - 1).alias("generation")).distinct()
-    needed = states.where(~F.col("mode")).join(asked, ["link_id", "generation"], "left_semi")
-    involved = needed.unionByName(states.where("mode")).select(*columns)
-    tagged = tag(packets, anchors, measure(involved, "packets"), settings)
-    counts = settle(
-        residue_counts(tagged.where(F.col("mode").isNotNull()), ["link_id", "generation", "mode"])
-    )
-    return Knowledge(anchors, state, measure(estimates_for(counts, settings.shape), "packets"))
-
-
-def _scores(queried: DataFrame, estimates: Lookup, settings: FilterSettings) -> DataFrame:
-    """Look up the three estimates; rows outside QUERY windows find nothing."""
-    table = estimates.table
-    for dim, residue in packet_residues().items():
-        name = f"est_{DIMENSIONS[dim]}"
-        one = table.where(F.col("dim") == dim).select(
-            "link_id",
-            F.col("generation").alias("_read"),
-            F.col("residue").alias("_residue"),
-            F.col("estimate").alias(name),
-            estimates.weight,
-        )
-        lookup = Lookup(one, estimates.weight, estimates.rows, estimates.total)
-        queried = queried.withColumns(
-            {"_read": F.when(F.col("mode"), F.col("generation") - 1), "_residue": residue}
-        )
-        queried = attach(
-            queried, lookup, ["link_id", "_read", "_residue"], "packet_id", settings.broadcast_rows
-        )
-    return queried.drop("_read", "_residue")
-
+    observed = settle(volumes(with_window(packets, anchors, settings.window_us)))
+    windows = involved_windows(settle(window_state(observed, settings.volume_threshold)))
+    located = locate(packets, anchors, windows, settings).where(F.col("mode").isNotNull())
+    counts = settle(residue_counts(located, ["link_id", "generation", "mode"]))
+    return Knowledge(anchors, windows, packed_estimates(counts, settings.shape))
+
+
+def _score(rows: DataFrame) -> DataFrame:
+    """Read the estimates of the three keys; a residue that was never counted has none."""
+    residues = packet_residues()
+    reads = {f"est_{name}": (name, residues[dim]) for dim, name in DIMENSIONS.items()}
+    found = read(rows, reads).drop(*DIMENSIONS.values())
+    zero = F.lit(0).cast("bigint")
+    return found.withColumns({name: F.when(F.col("mode"), F.coalesce(name, zero)) for name in ESTIMATES})
 
-def verdict_columns(packets: DataFrame, known: Knowledge, settings: FilterSettings) -> DataFrame:
-    """Add window, mode, estimates, score and ``pass``; other columns are kept."""
-    tagged = tag(packets, known.anchors, known.state, settings)
-    return judged(tagged, known.estimates, settings)
 
+def judged(tagged: DataFrame, estimates: Packed, settings: FilterSettings) -> DataFrame:
+    """Estimates, score and ``pass`` of rows with ``mode`` and ``generation``.
 
-def judged(tagged: DataFrame, estimates: Lookup, settings: FilterSettings) -> DataFrame:
-    if estimates.fits(settings.broadcast_rows):
-        scored = _scores(tagged, estimates, settings)
+    All three estimates of a generation are in one row, so packets meet them once. If the packed
+    rows are too many to broadcast, packets of QUERY windows are moved once; a generation that very
+    many packets ask is copied under several salts. Other packets stay where they are.
+    """
+    table = estimates.table.drop(estimates.weight)
+    known = F.coalesce("mode", F.lit(False))
+    asking = tagged.withColumns({"mode": known, "_read": F.when(known, F.col("generation") - 1)})
+    if estimates.values <= settings.broadcast_rows and estimates.bytes <= settings.broadcast_bytes:
+        scored = _score(asking.join(F.broadcast(table), ["link_id", "_read"], "left"))
     else:
-        # Only QUERY windows go through the shuffled lookups.
-        querying = F.coalesce("mode", F.lit(False))
-        scored = _scores(tagged.where(querying), estimates, settings)
-        scored = scored.unionByName(tagged.where(~querying), allowMissingColumns=True)
+        share = max(HOT_ROWS, -(-estimates.total // settings.broadcast_rows))
+        copies = F.ceil(F.col(estimates.weight) / share).cast("int")
+        hot = estimates.table.where(F.col(estimates.weight) > share).select(
+            "link_id", "_read", copies.alias("_copies")
+        )
+        salted = estimates.table.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
+        salt = F.pmod(F.xxhash64("packet_id"), F.coalesce("_copies", F.lit(1))).cast("int")
+        queries = asking.where("mode").join(F.broadcast(hot), ["link_id", "_read"], "left")
+        met = queries.withColumn("_salt", salt).drop("_copies").join(
+            salted.drop(estimates.weight), ["link_id", "_read", "_salt"], "left"
+        )
+        scored = _score(met).drop("_salt")
+        scored = scored.unionByName(asking.where(~F.col("mode")), allowMissingColumns=True)
     score = sum((F.col(name) for name in ESTIMATES[1:]), F.col(ESTIMATES[0]))
     return scored.withColumn("score", F.when(F.col("mode"), score)).withColumn(
         "pass", F.when(F.col("mode"), F.col("score") > settings.discard_threshold).otherwise(True)
-    ).drop("generation")
+    ).drop("generation", "_read")
+
+
+def verdict_columns(packets: DataFrame, known: Knowledge, settings: FilterSettings) -> DataFrame:
+    """Add window, mode, estimates, score and ``pass``; other columns are kept."""
+    located = locate(packets, known.anchors, known.windows, settings)
+    return judged(located, known.estimates, settings)
 
 
 def judge(packets: DataFrame, settings: FilterSettings) -> DataFrame:
@@ -143,61 +199,21 @@ def judge(packets: DataFrame, settings: FilterSettings) -> DataFrame:
 
 
 def filter_frames(frames: DataFrame, settings: FilterSettings) -> DataFrame:
-    """Whole frames that survive: judged ones by verdict, others by policy."""
+    """Whole frames that survive: judged ones by verdict, others by policy.
+
+    Frames are read twice: for the narrow features, and to be let through. A frame is moved only if
+    its window is in QUERY mode and the estimates are too many to broadcast, and then once.
+    """
     narrow = stage(features(frames))
     known = learn(narrow, settings)
     kept = ["malformed"] * (settings.malformed_policy == "forward")
     kept += ["unknown"] * (settings.unknown_policy == "forward")
     wide = with_features(frames).where(F.col("packet_class").isin("judged", *kept))
-
-    if known.estimates.fits(settings.broadcast_rows):
-        # Everything needed is broadcast: the frames are filtered where they are read.
-        unjudged = F.col("packet_class") != "judged"
-        survivors = verdict_columns(wide, known, settings).where(F.col("pass") | unjudged)
-        return survivors.select(*frames.columns)
-
-    dropped = (
-        verdict_columns(narrow, known, settings).where(~F.col("pass")).select("link_id", "packet_id")
-    )
-    # A frame of a calm window needs nothing: it is passed where it is read.
-    tagged = in_query_window(with_window(wide, known.anchors, settings.window_us), known.state, settings)
-    querying = F.col("_querying") & (F.col("packet_class") == "judged")
-    calm = tagged.where(~querying).select(*frames.columns)
-    asked = tagged.where(querying).select(*frames.columns)
-    return calm.unionByName(asked.join(dropped, ["link_id", "packet_id"], "left_anti"))
-
-
-def query_bitmaps(state: DataFrame) -> DataFrame:
-    """(link_id, _block, _bits): a bit for each window of a block, set for QUERY windows.
-
-    Blocks without a QUERY window have no row, so a row stands for up to 32,768 windows.
-    """
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("w") % 64).cast("int"))
-    words = state.where("mode").groupBy(
-        "link_id",
-        F.shiftright("w", BLOCK_BITS).alias("_block"),
-        F.shiftright("w", 6).bitwiseAND(BLOCK_WORDS - 1).cast("int").alias("_word"),
-    ).agg(F.bit_or(bit).alias("_set"))
-    held = F.map_from_entries(F.collect_list(F.struct("_word", "_set")))
-    rows = words.groupBy("link_id", "_block").agg(held.alias("_held"))
-    every = F.sequence(F.lit(0), F.lit(BLOCK_WORDS - 1))
-    word = lambda k: F.coalesce(F.col("_held")[k], F.lit(0).cast("bigint"))
-    return rows.select("link_id", "_block", F.transform(every, word).alias("_bits"))
-
-
-def in_query_window(windowed: DataFrame, state: Lookup, settings: FilterSettings) -> DataFrame:
-    """Add ``_querying``. The bitmaps are broadcast if their measured size allows it."""
-    bitmaps = settle(query_bitmaps(state.table))
-    if bitmaps.count() * BLOCK_WORDS * 8 > BITMAP_BYTES:
-        found = attach(windowed, state, ["link_id", "w"], "packet_id", settings.broadcast_rows)
-        return found.withColumn("_querying", F.coalesce("mode", F.lit(False)))
-    word = F.get("_bits", F.shiftright("w", 6).bitwiseAND(BLOCK_WORDS - 1).cast("int"))
-    bit = F.call_function("shiftright", word, (F.col("w") % 64).cast("int")).bitwiseAND(1)
-    return (
-        windowed.withColumn("_block", F.shiftright("w", BLOCK_BITS))
-        .join(F.broadcast(bitmaps), ["link_id", "_block"], "left")
-        .withColumn("_querying", F.coalesce(bit == 1, F.lit(False)))
-    )
+    located = locate(wide, known.anchors, known.windows, settings)
+    # Frames that are let through by policy ask nothing.
+    asking = F.col("mode") & (F.col("packet_class") == "judged")
+    survivors = judged(located.withColumn("mode", asking), known.estimates, settings)
+    return survivors.where("pass").select(*frames.columns)
 
 
 def filter_metrics(verdicts: DataFrame) -> DataFrame:

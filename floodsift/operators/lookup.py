@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -20,6 +21,22 @@ HOT_ROWS = 1_000_000
 SPREAD = 1 << 20
 
 
+def attach_in_place(large: DataFrame, table: DataFrame, on: Sequence[str], parts: int) -> DataFrame:
+    """Left join of ``table``, unique on ``on``, that never moves a row of ``large``.
+
+    The table is broadcast, or in ``parts`` by a hash of the key; then each part is met by the rows
+    of that hash, and ``large`` is read once for every part.
+    """
+    if parts <= 1:
+        return large.join(F.broadcast(table), list(on), "left")
+
+    def part(rows: DataFrame, number: int) -> DataFrame:
+        return rows.where(F.pmod(F.xxhash64(*on), F.lit(parts).cast("bigint")) == number)
+
+    met = [part(large, k).join(F.broadcast(part(table, k)), list(on), "left") for k in range(parts)]
+    return reduce(DataFrame.unionByName, met)
+
+
 @dataclass(frozen=True)
 class Lookup:
     table: DataFrame

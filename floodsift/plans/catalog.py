@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from floodsift.functions import hashing
 from floodsift.functions.binary import ip_to_long, long_to_ip, micros, swap_bytes
 from floodsift.operators import captures, controller, decode, framing, replay, sketch, volume
+from floodsift.operators.lookup import measure
 from floodsift.plans import inputs
 from floodsift.session import settle, shared_folder
 from floodsift.sources import pcap
@@ -220,7 +221,7 @@ def _learnt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     windows = volume.volumes(volume.with_window(packets, anchors, inputs.SETTINGS.window_us))
     state = volume.window_state(settle(windows), None)
     state = state.select("link_id", "w", "mode", "generation", "packets")
-    tagged = controller.tag(packets, anchors, controller.measure(state, "packets"), inputs.SETTINGS)
+    tagged = controller.tag(packets, anchors, measure(state, "packets"), inputs.SETTINGS)
     counts = settle(sketch.residue_counts(tagged, ["link_id", "generation", "mode"]))
     return counts.where(~F.col("mode")).drop("mode"), counts
 

@@ -18,7 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from floodsift.functions.binary import micros
-from floodsift.operators.controller import FilterSettings, estimates_for, judged
+from floodsift.operators.controller import FilterSettings, judged, packed_estimates
 from floodsift.operators.decode import with_features
 from floodsift.operators.lookup import Lookup, attach, measure
 from floodsift.operators.sketch import residue_counts
@@ -219,8 +219,7 @@ class RollingFilter:
         tagged = attach(closing, modes, ["link_id", "w"], "packet_id", settings.broadcast_rows)
         fresh = residue_counts(tagged, ["link_id", "generation", "mode"])
         counts = settle(fresh.unionByName(self._state(spark, "counts", batch_id - 1)))
-        estimates = measure(estimates_for(counts, settings.shape), "packets")
-        verdicts = judged(tagged, estimates, settings)
+        verdicts = judged(tagged, packed_estimates(counts, settings.shape), settings)
         verdicts.write.mode("overwrite").parquet(self._path("verdicts", batch_id))
 
         news = state.groupBy("link_id").agg(

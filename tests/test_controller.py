@@ -1,3 +1,4 @@
+import random
 import re
 from dataclasses import replace
 from datetime import datetime
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from floodsift.functions.hashing import SketchShape
-from floodsift.operators import captures, controller, sketch
+from floodsift.operators import captures, controller, decode, packed as packed_rows, sketch
 from floodsift.operators.controller import FilterSettings
 from floodsift.plans import inputs
 from floodsift.sources.traffic import generate_traffic, scenario_flows
@@ -104,20 +105,24 @@ def test_judge_equals_the_naive_form(spark, sf_dir, discard, width):
     assert {r.packet_id: (r.score, r["pass"]) for r in got} == expected
 
 
-def test_shuffled_lookups_give_the_same_verdicts_and_frames(spark, sf_dir):
-    small = replace(inputs.SETTINGS, broadcast_rows=20)
+LIMITS = [
+    {"broadcast_rows": 1},
+    {"broadcast_rows": 20},
+    {"broadcast_rows": 200},
+    {"broadcast_bytes": 300},
+    {"broadcast_rows": 1, "broadcast_bytes": 300},
+]
+
+
+@pytest.mark.parametrize("limits", LIMITS, ids=str)
+def test_any_limit_gives_the_same_verdicts_and_frames(spark, sf_dir, limits, monkeypatch):
     packets, frames = inputs.packets(spark, sf_dir), inputs.frames(spark, sf_dir)
-    shuffled, broadcast = (
-        {tuple(r) for r in controller.judge(packets, settings).collect()}
-        for settings in (small, inputs.SETTINGS)
-    )
-    assert shuffled == broadcast
-    kept = {r.packet_id for r in controller.filter_frames(frames, small).select("packet_id").collect()}
-    wide = {
-        r.packet_id
-        for r in controller.filter_frames(frames, inputs.SETTINGS).select("packet_id").collect()
-    }
-    assert kept == wide
+    whole = {tuple(r) for r in controller.judge(packets, inputs.SETTINGS).collect()}
+    kept = {r.packet_id for r in controller.filter_frames(frames, inputs.SETTINGS).collect()}
+    monkeypatch.setattr(controller, "HOT_ROWS", 7)  # so that generations are copied
+    small = replace(inputs.SETTINGS, **limits)
+    assert {tuple(r) for r in controller.judge(packets, small).collect()} == whole
+    assert {r.packet_id for r in controller.filter_frames(frames, small).collect()} == kept
 
 
 def test_policies(spark, sf_dir):
@@ -175,9 +180,49 @@ def test_one_shuffle_estimates_equal_a_stored_sketch(spark, sf_dir):
     assert plan.count("hashpartitioning(link_id") - plan.count("residue") <= 1
 
 
-def test_only_frames_of_query_windows_are_shuffled(spark, sf_dir):
+def exchanges(df, column):
+    """(columns, what is below) of every exchange that holds ``column``."""
+    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    found = re.findall(r"\((\d+)\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    return plan, [int(n) for n, columns in found if re.search(rf"\b{column}#", columns)]
+
+
+@pytest.mark.parametrize("windows_too", [False, True])
+@pytest.mark.parametrize("limit", ["below", "estimates", "between", "windows", "above"])
+def test_frames_are_moved_once_and_only_those_of_query_windows(spark, sf_dir, limit, windows_too):
+    frames = inputs.frames(spark, sf_dir)
+    known = controller.learn(decode.features(frames), inputs.SETTINGS)
+    few, many = sorted((known.estimates.values, known.windows.values))
+    rows = {"below": 1, "estimates": few, "between": (few + many) // 2, "windows": many, "above": 1 << 20}[limit]
+    settings = replace(inputs.SETTINGS, broadcast_rows=rows, broadcast_bytes=300 if windows_too else 256 << 20)
+    plan, moved = exchanges(controller.filter_frames(frames, settings), "frame")
+    assert len(moved) <= (len(re.findall("Union", plan)) and plan.count("Exchange\nInput"))
+    assert len(moved) <= 1
+    if rows < known.estimates.values or windows_too:
+        # Below the exchange: only rows whose window was found with its QUERY bit set.
+        below = plan[: plan.index(f"({moved[0]}) Exchange\nInput")]
+        assert re.search(r"Condition : .*_windows|Condition : .*_found|Condition : .*\b1\) = 1", below)
+    else:
+        assert moved == []
+
+
+def test_packets_are_moved_once_for_all_three_keys(spark, sf_dir):
     settings = replace(inputs.SETTINGS, broadcast_rows=1)
-    kept = controller.filter_frames(inputs.frames(spark, sf_dir), settings)
-    plan = kept._sc._jvm.PythonSQLUtils.explainString(kept._jdf.queryExecution(), "formatted")
-    exchanges = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
-    assert sum(bool(re.search(r"\bframe#", columns)) for columns in exchanges) == 1
+    _, moved = exchanges(controller.judge(inputs.packets(spark, sf_dir), settings), "packet_id")
+    assert len(moved) == 1
+
+
+def test_packed_values_are_read_by_position(spark):
+    rng = random.Random(4)
+    groups = {"dense": range(65_536), "few": [0, 63, 64, 4095, 4096, 65_535], "one": [17]}
+    groups["some"] = sorted(rng.sample(range(65_536), 700))
+    table = [(g, at, at * 3 - 5) for g, ats in groups.items() for at in ats]
+    rows = spark.createDataFrame(table, "g string, at int, v long")
+    asked = [(g, at) for g in [*groups, "none"] for at in {*rng.sample(range(65_536), 300), 0, 17, 63, 64, 65_535}]
+    probes = spark.createDataFrame(asked, "g string, p int")
+    packed = packed_rows.pack(rows, ["g"], "at", "v")
+    found = packed_rows.read(probes.join(packed, "g", "left"), {"got": ("packed", F.col("p"))})
+    held = {(g, at): v for g, at, v in table}
+    assert {(r.g, r.p): r.got for r in found.collect()} == {k: held.get(k) for k in asked}
+    measured = packed_rows.Packed.measure(packed, ["packed"])
+    assert measured.values == len(table) and measured.bytes > 8 * len(table)
