@@ -16,7 +16,7 @@ CAPTURE_ORDER = ("packet_id",)
 def packet_ordinals(packets: DataFrame) -> DataFrame:
     """Add ``ordinal``, the zero-based position of each packet in its capture."""
     return scan(
-        packets, ["link_id"], "packet_id", sums={"ordinal": F.lit(1).cast("bigint")}
+        packets, ["link_id"], "packet_id", sums={"ordinal": F.lit(1).cast("bigint")}, levels=None
     )
 
 

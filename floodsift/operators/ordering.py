@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from floodsift.operators.lookup import attach, measure
 from floodsift.session import settle
 
-# A slice holds at most 2**20 rows; the totals of slices are one row per slice.
+# A slice holds at most 2**20 rows; the totals of slices are one row per slice, and sliced again.
 SLICE_BITS = 20
 LEVELS = 2
 SPINE_BITS = 16
@@ -27,19 +27,32 @@ def scan(
     order: str,
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
+    levels: int | None = 0,
 ) -> DataFrame:
     """Add values over the rows strictly before each row, per ``by`` in ``order``.
 
     ``order`` must be a non-negative integer, unique within ``by``. ``sums`` are
     running sums; ``lasts`` are the last non-null values. Slices are ranges of
     ``order``, so they need no sampling and stay the same when a task is retried.
+
+    Slices of slices make a tree. Two levels, the usual number, keep every group within 2**20 rows
+    for orders below 2**40, such as dense numbers; ``levels=None`` looks up the largest order and
+    takes as many more as that needs, for byte offsets and other sparse numbers.
     """
+    if levels is None:
+        levels = levels_for(df.agg(F.max(order)).first()[0] or 0)
+    levels = levels or LEVELS
     sums, lasts = dict(sums or {}), dict(lasts or {})
     inputs = {f"_in_{name}": value for name, value in {**sums, **lasts}.items()}
-    out = _before(df.withColumns(inputs), list(by), order, list(sums), list(lasts), LEVELS - 1)
+    out = _before(df.withColumns(inputs), list(by), order, list(sums), list(lasts), levels - 1)
     return out.drop(*inputs)
 
 
+def levels_for(largest: int) -> int:
+    """Levels of slices with which no group holds more than ``2**SLICE_BITS`` rows."""
+    return max(LEVELS, -(-int(largest).bit_length() // SLICE_BITS))
+
+
 def _before(
     rows: DataFrame, by: list[str], order: str, sums: list[str], lasts: list[str], levels: int
 ) -> DataFrame:

@@ -18,7 +18,6 @@ from floodsift.sources import pcap
 from floodsift.sources.frames import in_time_order, read_frames, write_frames
 from floodsift.sources.traffic import generate_traffic
 from floodsift.streaming.rolling import RollingFilter
-from floodsift.streaming.volume import stream_volume
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -364,38 +363,35 @@ def expand_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams -------------------------------------------------------------------------
 
 
-def _overall(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
-    """First packet time, and the mean volume of a window over both links and 30 days."""
-    windows = 2 * 30 * 24 * inputs.HOUR_US // inputs.SETTINGS.window_us
-    row = inputs.packets(spark, sf_dir).agg(
-        F.min(micros(F.col("ts"))), F.expr(f"sum(total_length) div {windows}")
-    ).first()
-    return row[0], row[1]
+def _rolled(spark: SparkSession, sf_dir: str, frames: bool = False, delayed: bool = False) -> RollingFilter:
+    """The packets or frames through the rolling filter in four batches, and all windows closed."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    settings = replace(inputs.SETTINGS, volume_threshold=inputs.stream_threshold(spark, sf_dir))
+    rolling = RollingFilter(folder, settings)
+    if frames:
+        stream = inputs.frame_batches(spark, sf_dir, f"{folder}/in")
+    else:
+        stream = inputs.packet_batches(spark, sf_dir, f"{folder}/in", delayed)
+    run = stream.writeStream.foreachBatch(rolling.frames if frames else rolling)
+    run = run.option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    run.awaitTermination()
+    none = spark.createDataFrame([], stream.schema)
+    if frames:
+        rolling.frames(none, inputs.STREAM_BATCHES, close_all=True)
+    else:
+        rolling.drain(none, inputs.STREAM_BATCHES)
+    return rolling
 
 
 def stream_window_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows that the watermark has closed by the end of the stream."""
-    anchor_us, threshold = _overall(spark, sf_dir)
-    found = stream_volume(
-        inputs.packet_stream(spark, sf_dir), anchor_us, inputs.SETTINGS.window_us, threshold
-    )
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    run = found.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-    run.option("checkpointLocation", f"{folder}/log").start(f"{folder}/out").awaitTermination()
-    return spark.read.schema(found.schema).parquet(f"{folder}/out")
+    """Windows with packets of each link, counted from its first packet, as the stream closed them."""
+    return _rolled(spark, sf_dir).windows(spark).where("packets > 0").select("link_id", "w", "volume", "over")
 
 
-def _rolled(spark: SparkSession, sf_dir: str) -> RollingFilter:
-    """The packets through the rolling filter in several batches, and all windows closed."""
-    _, threshold = _overall(spark, sf_dir)
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    rolling = RollingFilter(folder, replace(inputs.SETTINGS, volume_threshold=threshold))
-    stream = inputs.packet_files(spark, sf_dir, f"{folder}/in")
-    run = stream.writeStream.foreachBatch(rolling)
-    run = run.option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
-    run.awaitTermination()
-    rolling.drain(inputs.packets(spark, sf_dir).limit(0), inputs.STREAM_FILES)
-    return rolling
+def stream_idle_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows without packets, which close, reset and rotate like any other."""
+    idle = _rolled(spark, sf_dir).windows(spark).where("packets = 0")
+    return idle.select("link_id", "w", "mode", "generation")
 
 
 def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,6 +399,17 @@ def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rolled(spark, sf_dir).verdicts(spark).select(*controller.VERDICT)
 
 
+def stream_late_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets whose window had closed when they came."""
+    late = _rolled(spark, sf_dir, delayed=True).late_packets(spark)
+    return late.select("link_id", "packet_id", "w")
+
+
+def stream_frames_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames in, surviving frames out."""
+    return _hex_frames(_rolled(spark, sf_dir, frames=True).surviving_frames(spark))
+
+
 QUERIES: dict[str, Query] = {
     "frames_scan": frames_scan,
     "frames_roundtrip": frames_roundtrip,
@@ -453,5 +460,8 @@ QUERIES: dict[str, Query] = {
     "compare_captures": compare_captures,
     "expand_decisions": expand_decisions,
     "stream_window_volume": stream_window_volume,
+    "stream_idle_windows": stream_idle_windows,
     "stream_verdicts": stream_verdicts,
+    "stream_late_packets": stream_late_packets,
+    "stream_frames_filter": stream_frames_filter,
 }

@@ -7,6 +7,8 @@ branch of the decoders is met.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from floodsift.functions.hashing import SketchShape
@@ -128,31 +130,53 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_events(spark, sf_dir, PACKETS).withColumn("ts", _as_instant("ts"))
 
 
-STREAM_FILES = 4
+# Fixed instants (microseconds) that cut the month of the given events into the batches of a stream.
+STREAM_CUTS = tuple(
+    int(datetime(2024, 1, day, tzinfo=timezone.utc).timestamp()) * 1_000_000 for day in (8, 16, 23)
+)
+STREAM_BATCHES = len(STREAM_CUTS) + 1
+FILE_ROWS = 250_000
+DELAYED = "packet_id % 97 = 5"  # packets that come one batch late
+MEAN_LENGTH, MONTH_WINDOWS = 90, 240
+
+
+def stream_part(instant: str, delayed: bool = False) -> str:
+    """SQL for the batch of a packet at ``instant`` (microseconds); of the ``delayed`` ones, the next."""
+    part = " + ".join(f"CASE WHEN {instant} >= {cut} THEN 1 ELSE 0 END" for cut in STREAM_CUTS)
+    late = f" + CASE WHEN {DELAYED} THEN 1 ELSE 0 END" if delayed else ""
+    return f"least({part}{late}, {STREAM_BATCHES - 1})"
+
+
+def stream_threshold(spark: SparkSession, sf_dir: str) -> int:
+    """About the mean volume of a window, from the number of rows that the files state."""
+    return table(spark, sf_dir, "events").count() * MEAN_LENGTH // MONTH_WINDOWS
 
 
-def packet_files(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """The packets again, as a stream of files in the order of time, one a batch."""
+def in_batches(rows: DataFrame, count: int, folder: str) -> DataFrame:
+    """``rows`` again as a stream of files; every batch has the files of one value of ``part``.
+
+    The files of a batch grow in number with the ``count`` of rows, not in size.
+    """
+    files = -(-count // (STREAM_BATCHES * FILE_ROWS))
+    rows = rows.withColumn("file", F.pmod("packet_id", F.lit(files)))
+    for number in range(STREAM_BATCHES):
+        part = rows.where(F.col("part") == number).drop("part")
+        part.repartition(files, "file").write.partitionBy("file").parquet(f"{folder}/{number}")
+    stream = rows.sparkSession.readStream.schema(rows.drop("part", "file").schema)
+    stream = stream.option("maxFilesPerTrigger", files).option("recursiveFileLookup", True)
+    return stream.parquet(folder)
+
+
+def packet_batches(spark: SparkSession, sf_dir: str, folder: str, delayed: bool = False) -> DataFrame:
+    """The packets as a stream, in the order of time but for the ``delayed`` ones."""
     rows = packets(spark, sf_dir)
-    at = F.unix_micros("ts")
-    cuts = rows.agg(
-        F.expr(f"percentile_approx(unix_micros(ts), array({', '.join(str(k / STREAM_FILES) for k in range(1, STREAM_FILES))}))")
-    ).first()[0] or []
-    edges = [None, *cuts, None]
-    for number, (low, high) in enumerate(zip(edges, edges[1:])):
-        part = rows if low is None else rows.where(at > low)
-        part = part if high is None else part.where(at <= high)
-        part.coalesce(1).write.parquet(f"{folder}/{number}")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
-    return stream.option("recursiveFileLookup", True).parquet(folder)
-
-
-def packet_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packets again, as a stream of the files of ``events``."""
-    schema = table(spark, sf_dir, "events").schema
-    # A pattern, because the file stream takes a plain path for a folder.
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events[.]parquet")
-    return spark.sql(PACKETS, events=events).withColumn("ts", _as_instant("ts"))
+    return in_batches(rows.withColumn("part", F.expr(stream_part("unix_micros(ts)", delayed))), rows.count(), folder)
+
+
+def frame_batches(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The frames as a stream, in the order of time."""
+    rows = frames(spark, sf_dir)
+    return in_batches(rows.withColumn("part", F.expr(stream_part("unix_micros(ts)"))), rows.count(), folder)
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,8 +97,8 @@ DECODED = (*FRAME_PARTS, ETH, IP, L4, CLASSED)
 
 LINK_MEAN = "SELECT link_id, (sum(volume) // count(*))::BIGINT AS threshold FROM vol GROUP BY link_id"
 # Both links over 30 days.
-OVERALL_MEAN = f"""SELECT link_id, (SELECT sum(total_length) // {2 * 30 * 24 * inputs.HOUR_US // WINDOW_US}
-  FROM packets)::BIGINT AS threshold FROM vol GROUP BY link_id"""
+STREAM_THRESHOLD = f"""SELECT link_id, (SELECT count(*) * {inputs.MEAN_LENGTH} // {inputs.MONTH_WINDOWS}
+  FROM events)::BIGINT AS threshold FROM vol GROUP BY link_id"""
 
 
 def _windows(source: str, window_us: int = WINDOW_US, threshold: str = LINK_MEAN) -> str:
@@ -166,19 +166,25 @@ def _verdicts(discard_threshold: int = 0) -> str:
   FROM pw JOIN state st USING (link_id, w) LEFT JOIN scores USING (link_id, packet_id))"""
 
 
-def _judge(source: str, window_us: int = WINDOW_US, discard_threshold: int = 0) -> tuple[str, ...]:
-    return (_windows(source, window_us), KEYED, ROWED, JUDGED, _verdicts(discard_threshold))
+def _judge(
+    source: str, window_us: int = WINDOW_US, discard_threshold: int = 0, threshold: str = LINK_MEAN
+) -> tuple[str, ...]:
+    return (_windows(source, window_us, threshold), KEYED, ROWED, JUDGED, _verdicts(discard_threshold))
 
 
-FILTERED = (
-    *DECODED,
-    "good AS (SELECT * FROM classed WHERE packet_class = 'judged')",
-    *_judge("good"),
-    """kept AS (
+def _filtered(threshold: str = LINK_MEAN) -> tuple[str, ...]:
+    return (
+        *DECODED,
+        "good AS (SELECT * FROM classed WHERE packet_class = 'judged')",
+        *_judge("good", threshold=threshold),
+        """kept AS (
   SELECT c.link_id, c.packet_id, c.ts, c.frame_hex
   FROM classed c LEFT JOIN verdicts v USING (link_id, packet_id)
   WHERE c.packet_class = 'unknown' OR v.pass)""",
-)
+    )
+
+
+FILTERED = _filtered()
 
 SUMMARY = """SELECT link_id, mode, count(*) AS packets, sum(pass::INT)::BIGINT AS passed,
   sum((NOT pass)::INT)::BIGINT AS dropped, coalesce(sum(score), 0)::BIGINT AS score_sum
@@ -609,21 +615,44 @@ FROM (SELECT *, {PACKET_NO} AS idx FROM packets)""",
     "compare_captures": _comparison(*FILTERED, left="frames", right="kept"),
     "stream_window_volume": _with(
         PACKETS,
-        f"edges AS (SELECT min({_instant()}) AS first_us, max({_instant()}) AS last_us FROM packets)",
-        final=f"""SELECT link_id, w, volume, volume > (SELECT threshold FROM ({OVERALL_MEAN.replace("vol", "packets")}) LIMIT 1) AS "over"
-FROM (SELECT link_id, ({_instant()} - first_us) // {WINDOW_US} AS w, sum(total_length)::BIGINT AS volume
-      FROM packets, edges GROUP BY ALL), edges
-WHERE first_us + (w + 1) * {WINDOW_US} <= last_us""",
+        _windows("packets", threshold=STREAM_THRESHOLD),
+        final="""SELECT link_id, w, sum(total_length)::BIGINT AS volume, any_value(is_over) AS "over"
+FROM pw JOIN flagged USING (link_id, w) GROUP BY link_id, w""",
+    ),
+    "stream_idle_windows": _with(
+        PACKETS,
+        _windows("packets", threshold=STREAM_THRESHOLD),
+        final="""SELECT link_id, w, mode, generation FROM state
+WHERE (link_id, w) NOT IN (SELECT (link_id, w) FROM pw)""",
     ),
     "stream_verdicts": _with(
         PACKETS,
-        _windows("packets", threshold=OVERALL_MEAN),
+        _windows("packets", threshold=STREAM_THRESHOLD),
         KEYED,
         ROWED,
         JUDGED,
         _verdicts(),
         final="SELECT * FROM verdicts",
     ),
+    "stream_late_packets": _with(
+        PACKETS,
+        f"""parts AS (
+  SELECT link_id, packet_id, {_instant()} AS us, {inputs.stream_part(_instant(), True)} AS part FROM packets)""",
+        """anchors AS (
+  SELECT link_id, min(us) AS first_us FROM parts p
+  WHERE part = (SELECT min(part) FROM parts q WHERE q.link_id = p.link_id) GROUP BY link_id)""",
+        f"""closed AS (
+  SELECT l.link_id, b.part, floor((max(us) - first_us)::DOUBLE / {WINDOW_US}) - 1 AS line
+  FROM (SELECT unnest(range(0, {inputs.STREAM_BATCHES})) AS part) b, parts l JOIN anchors USING (link_id)
+  WHERE l.part < b.part GROUP BY l.link_id, b.part, first_us)""",
+        final=f"""SELECT link_id, packet_id, w::BIGINT AS w
+FROM (SELECT *, floor((us - first_us)::DOUBLE / {WINDOW_US}) AS w FROM parts JOIN anchors USING (link_id))
+LEFT JOIN closed USING (link_id, part)
+WHERE w <= coalesce(line, -1)""",
+    ),
+    "stream_frames_filter": _with(
+        *_filtered(STREAM_THRESHOLD), final=f"SELECT link_id, packet_id, {_instant()} AS ts_us, frame_hex FROM kept"
+    ),
     "expand_decisions": _with(
         PACKETS,
         f"decisions AS ({inputs.DECISIONS.format(events='events')})",

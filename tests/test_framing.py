@@ -1,10 +1,11 @@
 import random
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from floodsift.operators import framing
+from floodsift.operators import framing, ordering
 from floodsift.schemas import FRAMES
 
 SIZES = [0, 1, 63, 64, 65, 127, 128, 129, 192, 1500]
@@ -102,3 +103,46 @@ def test_realign_against_the_model(spark):
     for r in framing.realign(words).orderBy("packet_no", "word_no").collect():
         got.setdefault(r.packet_no, []).append((bytes(r.data), r.end_of_packet, r.end_of_packet_len))
     assert got == expected
+
+
+@pytest.mark.parametrize("bits", [0, 1, 2, 4])
+def test_packets_across_slices(spark, monkeypatch, bits):
+    """Slices that end in, before and after a packet's end, and packets over many slices."""
+    monkeypatch.setattr(ordering, "SLICE_BITS", bits)
+    monkeypatch.setattr(ordering, "LEVELS", 12)
+    rng, rows, expected = random.Random(bits), [], {}
+    for link in ("a", "b"):
+        packets = [rng.randbytes(rng.choice([0, 1, 64, 65, 128, 700, 2500])) for _ in range(40)]
+        expected[link] = packets
+        words = [w for p in packets for w in split(p)] + [(bytes(64), False, 0)] * 3
+        rows += [(link, seq, *w) for seq, w in enumerate(words)]
+    schema = "link_id string, seq bigint, data binary, end_of_packet boolean, end_of_packet_len int"
+    words = spark.createDataFrame(rows, schema).repartition(3)
+    got = {}
+    for r in framing.to_frames(words).orderBy("packet_no").collect():
+        got.setdefault(r.link_id, []).append(bytes(r.frame))
+    assert got == expected
+    short = framing.to_frames(words, longest=600).orderBy("packet_no").collect()
+    assert all((r.frame is None) == (r.frame_len > 600) for r in short)
+    assert {(r.link_id, r.packet_no, r.bytes) for r in framing.oversized(words, 600).collect()} == {
+        (link, n, len(p)) for link, packets in expected.items() for n, p in enumerate(packets) if len(p) > 600
+    }
+
+
+def payload_exchanges(df, columns):
+    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    found = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    return sum(bool(re.search(rf"\b({columns})#", held)) for held in found)
+
+
+def test_payload_is_exchanged_once_in_each_direction(frames, tmp_path):
+    spark = frames.sparkSession
+    framing.to_words(frames).write.parquet(f"{tmp_path}/words")
+    words = spark.read.parquet(f"{tmp_path}/words")
+    parsed = words.selectExpr(
+        "*", "14 AS octets_consumed", "word_no = 0 AS extract_range_end", "false AS error_drop"
+    ).drop("packet_id", "word_no")
+    assert payload_exchanges(framing.to_words(frames), "frame|data") == 1
+    for made in (framing.to_frames(words), framing.realign(parsed), framing.encode_beats(words)):
+        assert payload_exchanges(made, "data|kept|frame|_held") == 1
+    assert payload_exchanges(framing.oversized(words), "data|frame") == 0

@@ -74,3 +74,22 @@ def test_hot_keys_are_bounded_by_the_limit(spark):
     large = spark.range(100).selectExpr("id", "id AS k")
     out = attach(large, lookup, ["k"], "id", broadcast_rows=10, hot_rows=1)
     assert {(r.k, r.v) for r in out.collect()} == {(n, n) for n in range(100)}
+
+
+def test_no_group_is_large_for_sparse_orders(spark):
+    # A link of byte offsets up to 10**14, in capture files numbered above them.
+    assert ordering.levels_for(10**14) == 3 and ordering.levels_for((1 << 62) + 5) == 4
+    rng = random.Random(8)
+    ats = sorted({rng.randrange(10**14) for _ in range(400)} | {0, 10**14})
+    df = spark.createDataFrame([("a", at) for at in ats], "link string, at bigint")
+    out = ordering.scan(df, ["link"], "at", sums={"n": F.lit(1).cast("bigint")}, levels=None)
+    assert [r.n for r in out.orderBy("at").collect()] == list(range(len(ats)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_slice2" in plan and "_slice1" in plan and "_slice3" not in plan
+    for level in range(3):
+        # Members of a group of any level differ in SLICE_BITS bits only.
+        spans = {at >> ordering.SLICE_BITS * level for at in ats}
+        groups = {}
+        for s in spans:
+            groups.setdefault(s >> ordering.SLICE_BITS, set()).add(s)
+        assert max(map(len, groups.values())) <= 1 << ordering.SLICE_BITS
