@@ -10,7 +10,8 @@ from floodsift.llm.queries import QUERIES
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_query_equals_sql(spark, sf_dir, name):
     connection = duckdb.connect()
-    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for table in ("documents", "labels", "benchmark"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     found = connection.execute(ORACLES[name])
     columns = sorted(c[0] for c in found.description)
     places = [[c[0] for c in found.description].index(c) for c in columns]
