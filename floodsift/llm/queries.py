@@ -98,7 +98,7 @@ def op12_radix_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every whole text and of the text decoded from them."""
-    coded = transducer.decode(transducer.encode(table(spark, sf_dir, "documents"), TOKENIZER), TOKENIZER)
+    coded = transducer.encode(table(spark, sf_dir, "documents"), TOKENIZER, decoded="decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

@@ -19,16 +19,17 @@ import heapq
 import json
 import os
 import re
+from array import array
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CACHED_WORDS = 400_000  # about 200 MB a worker; all are forgotten when there are more
-CACHED_LETTERS = 64  # longer words are encoded each time
+CACHED = 250_000  # words, and pieces, of either generation that a worker remembers; about 130 MB in all
+CACHED_LETTERS = 64  # longer ones are encoded each time
 BATCH_IDS = 500_000  # ids of a batch that goes back to Spark; a document is never split
 FEED = 1 << 16  # symbols read, or ids decoded, at a time
 
@@ -78,15 +79,20 @@ class Merges:
         return self._short(symbols) if len(symbols) <= 48 else self._long(symbols)
 
     def _short(self, tokens: list[str]) -> list[str]:
-        rank, none = self.rank, len(self.rank)
+        rank, none = self.rank.get, len(self.rank)
         tokens = list(tokens)
-        while len(tokens) > 1:
-            ranks = [rank.get(pair, none) for pair in zip(tokens, tokens[1:])]
+        ranks = [rank(pair, none) for pair in zip(tokens, tokens[1:])]
+        while ranks:
             best = min(ranks)
             if best == none:
                 break
             at = ranks.index(best)
-            tokens[at : at + 2] = [tokens[at] + tokens[at + 1]]
+            tokens[at] += tokens.pop(at + 1)
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = rank((tokens[at], tokens[at + 1]), none)
+            if at:
+                ranks[at - 1] = rank((tokens[at - 1], tokens[at]), none)
         return tokens
 
     def _long(self, tokens: list[str]) -> list[str]:
@@ -178,15 +184,36 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+class Recent(dict):
+    """Values worked out when they are first asked for; the older of two generations is forgotten."""
+
+    def __init__(self, work: Callable[[str], bytes], size: int = CACHED):
+        super().__init__()
+        self.work, self.size, self.older = work, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.work(key)
+        if len(key) <= CACHED_LETTERS:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Codec:
     """A tokenizer file's special tokens and word rules around the transducer.
 
-    The file's own normaliser and splitter make pieces of a word; plain ASCII words are split here.
+    The file's own normaliser and splitter make pieces of a word. Words of ASCII and Latin letters,
+    which have one form and one lower case each, are split here.
     """
 
     # Split before normalising; only white space that every rule of the file takes as such.
     WORD = re.compile(r"[^ \t\r\n]+")
-    PLAIN = re.compile(r"[!-~]+").fullmatch
+    LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+    PLAIN = re.compile(f"[!-~{LATIN}]+").fullmatch
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -212,14 +239,14 @@ class Codec:
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
         # The file's pattern, with its classes spelt out for ASCII; used if it is the known one.
-        classes = {r"\p{L}": "a-z", r"\p{N}": "0-9"}
+        classes = {r"\p{L}": "a-z" + self.LATIN, r"\p{N}": "0-9"}
         pattern = steps[0]["pattern"].get("Regex", "")
         lowers = "Lowercase" in json.dumps(spec["normalizer"])
         drops = steps[0]["behavior"] == "Removed" and steps[0]["invert"]
         for name, plain in classes.items():
             pattern = pattern.replace(f"[{name}]", f"[{plain}]").replace(name, plain)
         self.plain = re.compile(pattern).findall if lowers and drops and "\\p" not in pattern else None
-        self.words: dict[str, bytes] = {}
+        self.words, self.parts = Recent(self.word), Recent(self.piece)
         by_id = {i: t for t, i in (self.ids | self.special).items()}
         names = [by_id.get(i, "") for i in range(max(by_id) + 1)]
         bytewise = (spec["decoder"] or {}).get("type")
@@ -235,50 +262,40 @@ class Codec:
     def pieces(self, word: str) -> list[str]:
         """The pieces of a word, in byte letters."""
         if self.plain and self.PLAIN(word):
-            return self.plain(word.lower())
+            found = self.plain(word.lower())
+            if word.isascii():
+                return found
+            letters = byte_letters()
+            return ["".join([letters[b] for b in piece.encode()]) for piece in found]
         normalizer, splitter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         text = normalizer.normalize_str(word) if normalizer else word
         return [piece for piece, _ in splitter.pre_tokenize_str(text)]
 
+    def piece(self, piece: str) -> bytes:
+        """The ids of a piece as 32-bit numbers; tokens without an id are left out."""
+        machine, tokens = Transducer(self.merges), []
+        for at in range(0, len(piece), FEED):
+            tokens += machine.feed(piece[at : at + FEED])
+        tokens += machine.finish()
+        return array("i", [self.ids[t] for t in tokens if t in self.ids]).tobytes()
+
     def word(self, word: str) -> bytes:
-        """The ids of a word as 32-bit numbers; tokens without an id are left out."""
-        ids = []
-        for piece in self.pieces(word):
-            machine = Transducer(self.merges)
-            for at in range(0, len(piece), FEED):
-                ids += [self.ids[t] for t in machine.feed(piece[at : at + FEED]) if t in self.ids]
-            ids += [self.ids[t] for t in machine.finish() if t in self.ids]
-        return np.array(ids, "<i4").tobytes()
+        return b"".join(map(self.parts.__getitem__, self.pieces(word)))
 
     def _words(self, text: str) -> bytes:
-        known = self.words
-        found = self.WORD.findall(text)
-        try:
-            return b"".join([known[w] for w in found])
-        except KeyError:
-            pass
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        out = []
-        for w in found:
-            if (coded := known.get(w)) is None:
-                coded = self.word(w)
-                if len(w) <= CACHED_LETTERS:
-                    known[w] = coded
-            out.append(coded)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, self.WORD.findall(text)))
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text; null is empty."""
         text = text or ""
         if self.marks is None or not self.marks.search(text):
-            return np.frombuffer(self._words(text), "<i4")
+            return np.frombuffer(self._words(text), np.int32)
         parts = self.marks.split(text)
         raw = [
-            np.array([self.special[p]], "<i4").tobytes() if k % 2 else self._words(p)
+            np.array([self.special[p]], np.int32).tobytes() if k % 2 else self._words(p)
             for k, p in enumerate(parts)
         ]
-        return np.frombuffer(b"".join(raw), "<i4")
+        return np.frombuffer(b"".join(raw), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         machine = TextDecoder(self.raw, self.joint)
@@ -299,13 +316,18 @@ def _typed(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{n}` {kinds[n]}" for n in names)
 
 
-def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", decoded: str | None = None
+) -> DataFrame:
     """(key, ids): the ids of every whole text, one row for each row of ``docs``.
 
-    A null or empty text has no ids, an empty table gives an empty one, repeated rows and null keys
-    stay as they are, and other columns of ``docs`` are not looked at. A long run of letters passes
-    through the transducer, which holds ``4 * lookahead`` symbols however long the run is.
+    With ``decoded`` a column of that name has the text that the ids decode to, as :func:`decode`
+    would add it. A null or empty text has no ids, an empty table gives an empty one, repeated rows
+    and null keys stay as they are, and other columns of ``docs`` are not looked at. A long run of
+    letters passes through the transducer, which holds ``4 * lookahead`` symbols however long the
+    run is.
     """
+    names = [key, "ids"] + [decoded] * bool(decoded)
 
     def work(batches):
         machine = codec(tokenizer)
@@ -317,11 +339,14 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                 if total >= BATCH_IDS or k == batch.num_rows - 1:
                     ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32()))
-                    keys = batch.column(0).slice(first, len(ids))
-                    yield pa.RecordBatch.from_arrays([keys, lists], names=[key, "ids"])
+                    columns = [batch.column(0).slice(first, len(ids)), lists]
+                    if decoded:
+                        columns.append(pa.array(map(machine.decode, ids), pa.string(), size=len(ids)))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
                     first, ids, total = k + 1, [], 0
 
-    return docs.select(key, text).mapInArrow(work, f"{_typed(docs, [key])}, ids array<int>")
+    schema = f"{_typed(docs, [key])}, ids array<int>" + (f", `{decoded}` string" if decoded else "")
+    return docs.select(key, text).mapInArrow(work, schema)
 
 
 def decode(coded: DataFrame, tokenizer: str, ids: str = "ids", name: str = "decoded") -> DataFrame:

@@ -181,6 +181,8 @@ def test_encoder_equals_the_library(docs, none):
         want.append((key, ids, library.decode(ids, skip_special_tokens=False)))
     order = lambda r: (r[0] is None, r[0] or 0, len(r[1]))
     assert sorted((tuple(r) for r in coded), key=order) == sorted(want, key=order)
+    at_once = transducer.encode(docs, TOKENIZER, decoded="decoded").collect()
+    assert sorted((tuple(r) for r in at_once), key=order) == sorted(want, key=order)
     assert transducer.decode(transducer.encode(none, TOKENIZER), TOKENIZER).collect() == []
     nulls = docs.selectExpr("doc_id", "CAST(NULL AS array<int>) AS ids", "1 AS decoded").limit(2)
     assert [r.decoded for r in transducer.decode(nulls, TOKENIZER).collect()] == ["", ""]
