@@ -80,20 +80,24 @@ def word_runs(text: str, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]
 
 
 def _hashed(batches):
+    """The different hashes of every text, as one array a row."""
     known: dict[str, int] = {}
     for batch in batches:
         if len(known) > KNOWN:
             known = {}
-        keys, hashes = [], []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = {h for h, _, _ in span_hashes(sentences(text))}
-            found.update(word_runs(text, known)[0].tolist())
-            keys += [key] * len(found)
-            hashes += found
-            if len(keys) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64())], names=["key", "h"])
-                keys, hashes = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64())], names=["key", "h"])
+        first, hashes, total = 0, [], 0
+        for k, text in enumerate(batch.column(1)):
+            text = text.as_py()
+            found = [h for h, _, _ in span_hashes(sentences(text))]
+            hashes.append(np.unique(np.concatenate([np.array(found, np.int64), word_runs(text, known)[0]])))
+            total += len(hashes[-1])
+            if total > 200_000 or k == batch.num_rows - 1:
+                ends = np.cumsum([0, *map(len, hashes)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(hashes), pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, len(hashes)), lists], names=["key", "spans"]
+                )
+                first, hashes, total = k + 1, [], 0
 
 
 def _kept(text: str, repeated: set[int], known: dict[str, int]) -> tuple[str, int, int]:
@@ -146,8 +150,10 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     the others goes, and spans are judged on the input. So do the words of chosen runs, up to which
     at most CHOICE - 1 words of either end of a repeated passage may stay; within a document these
     count from one sentence to later ones. ``n_removed`` counts the sentences that lose anything. Null texts are empty, rows of one id count
-    as one document, and a null id comes last. Hashes are counted with map-side aggregation before
-    anything is joined; documents only meet the repeated hashes of their own.
+    as one document, and a null id comes last. An empty table gives an empty one; other columns are
+    not looked at. A text is hashed once, into an array that is written, however long it is; hashes
+    are counted with map-side aggregation before anything is joined, and documents only meet the
+    repeated hashes of their own.
     """
     last = (1 << 63) - 1
     keyed = docs.select(
@@ -155,7 +161,8 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.coalesce(F.col(id_col), F.lit(last)).cast("bigint").alias("key"),
         F.coalesce("text", F.lit("")).alias("_text"),
     )
-    spans = keyed.select("key", "_text").mapInArrow(_hashed, "key long, h long")
+    held = stage(keyed.select("key", "_text").mapInArrow(_hashed, "key long, spans array<long>"))
+    spans = held.select("key", F.explode("spans").alias("h"))
     counts = spans.groupBy("h").agg(F.min("key").alias("first"), F.max("key").alias("latest"))
     repeated = stage(counts.where("first < latest").select("h", "first"))
     hits = spans.join(repeated, "h").where("key > first").select("key", "h")
