@@ -7,9 +7,11 @@ a vector that falls into the windows of enough lines is verified with the exact
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 LINES = 96
 COLLISIONS = 70  # lines on which a vector must be inside the window
@@ -55,7 +57,8 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, top:
             if len(found) >= enough or (low == 0).all() and (high == n).all():
                 break
             width = width * GROWTH
-        scores = np.array([float(np.dot(vectors[r], queries[q])) for r in found]) if len(found) < 64 else vectors[found] @ queries[q]
+        # Summed row by row in one order, so that equal vectors have equal scores.
+        scores = (vectors[found] * queries[q]).sum(axis=1)
         if len(found) > 4 * k:
             part = np.partition(-scores, 4 * k)[4 * k]
             close = -scores <= part
@@ -67,10 +70,14 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, top:
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, spare: float = SPARE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, largest inner product first.
 
-    Queries are the rows whose ``vec_id`` is divisible by ``every``; candidates all rows but the
-    query's own. Vectors that are null, zero, of another length than most or hold null or non-finite
-    components, and null ids, take no part. Queries and vectors meet in blocks of bounded size, every
-    query block with every vector block, and only k rows a query leave a block.
+    Queries are the rows whose ``vec_id`` is divisible by ``every``; candidates all rows but those of
+    the query's own id. Ties go to the smaller ``vec_id``. Vectors that are null, zero or hold null or
+    non-finite components, and null ids, take no part; vectors are compared with those of their own
+    length. Different vectors under one id are candidates each, and queries each, with ranks of their
+    own; a query repeated with an equal vector counts once. An empty table gives no rows.
+
+    Queries and vectors meet in blocks of bounded size, every query block with every vector block,
+    and only k rows a query leave a block.
     """
     x = F.col("embedding")
     sound = (
@@ -81,35 +88,55 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, spare: float = SPA
     )
     rows = vectors.select("vec_id", x.cast("array<double>").alias("v")).where(F.coalesce(sound, F.lit(False)))
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, a: s + a * a))
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(size).alias("top"))
-    most = sizes.orderBy(F.desc("n"), "d").first()
-    schema = "query_id long, vec_id long, score double"
-    if most is None:
-        spark = vectors.sparkSession
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("v") == most["d"])
-    top = most["top"] * (1 + 1e-9)
     asked = F.col("vec_id") % every == 0
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(size).alias("top"), F.count_if(asked).alias("queries")
+    )
+    parts = [
+        _near(rows.where(F.size("v") == s["d"]), asked, s["n"], s["queries"], s["top"] * (1 + 1e-9), k, spare)
+        for s in sizes.orderBy("d").collect()
+        if s["queries"]
+    ]
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    return (
+        reduce(DataFrame.unionByName, parts)
+        .withColumn("rank", F.row_number().over(best))
+        .where(F.col("rank") <= k)
+        .select("query_id", "rank", "vec_id", "score")
+    )
+
+
+def _near(rows: DataFrame, asked: Column, n: int, queries: int, top: float, k: int, spare: float) -> DataFrame:
+    """(query_id, query, vec_id, score): the best of every block, for vectors of one length."""
     spread = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
-    blocks = -(-most["n"] // BLOCK)
-    query_blocks = -(-rows.where(asked).count() // QUERIES) or 1
+    blocks, query_blocks = -(-n // BLOCK), -(-queries // QUERIES)
     held = rows.select("vec_id", "v", spread(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
-    sent = rows.where(asked).select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), spread(query_blocks).alias("q"))
+    once = rows.where(asked).dropDuplicates(["vec_id", "v"])
+    sent = once.select(
+        "vec_id",
+        "v",
+        F.xxhash64("v").alias("query"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+        spread(query_blocks).alias("q"),
+    )
 
     def search(block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(block) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids, names = block["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
+            return pd.DataFrame({"query_id": [], "query": [], "vec_id": [], "score": []})
+        ids, names, marks = block["vec_id"].to_numpy(), queries["vec_id"].to_numpy(), queries["query"].to_numpy()
+        # The query's own rows may be as good as its best ones.
+        own = int(pd.Series(ids).value_counts().reindex(names).fillna(0).max())
         out = []
-        for q, found, scores in search_block(ids, _matrix(block["v"]), _matrix(queries["v"]), top, k, spare):
+        for q, found, scores in search_block(ids, _matrix(block["v"]), _matrix(queries["v"]), top, k + max(own - 1, 0), spare):
             other = ids[found] != names[q]
-            out.append(pd.DataFrame({"query_id": names[q], "vec_id": ids[found][other][:k], "score": scores[other][:k]}))
+            out.append(
+                pd.DataFrame(
+                    {"query_id": names[q], "query": marks[q], "vec_id": ids[found][other][:k], "score": scores[other][:k]}
+                )
+            )
         return pd.concat(out)
 
-    near = held.groupBy("block", "q").cogroup(sent.groupBy("block", "q")).applyInPandas(search, schema)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        near.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    schema = "query_id long, query long, vec_id long, score double"
+    return held.groupBy("block", "q").cogroup(sent.groupBy("block", "q")).applyInPandas(search, schema)

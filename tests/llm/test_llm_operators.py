@@ -234,6 +234,33 @@ def test_neighbours(spark):
     assert rows_of(neighbours.nearest(spark.createDataFrame(odd, table.schema))) == []
 
 
+@pytest.mark.parametrize("equal", [60, 203, 503])
+def test_ties_of_neighbours_go_to_the_smaller_id(spark, equal):
+    rng = np.random.default_rng(equal)
+    same, others = rng.standard_normal(24), rng.standard_normal((300, 24)) * 0.1
+    rows = [(k, same.tolist()) for k in range(equal)] + [(1001 + k, v.tolist()) for k, v in enumerate(others)]
+    got = collections.defaultdict(list)
+    for q, rank, v, _ in sorted(rows_of(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))):
+        got[q].append(v)
+    for q in range(0, equal, 20):
+        assert got[q] == [v for v in range(21) if v != q][:20]
+
+
+def test_neighbours_of_repeated_ids_and_other_lengths(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.standard_normal(8).tolist()) for k in range(60)]
+    rows += [(20, rng.standard_normal(8).tolist()), rows[40], rows[7]] + [(100 + k, rng.standard_normal(3).tolist()) for k in range(5)]
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=70)
+    got = collections.Counter()
+    for q, _, v, score in rows_of(found):
+        got[q, v, round(score, 9)] += 1
+    want = collections.Counter()
+    asked = {(q, tuple(x)) for q, x in rows if q % 20 == 0}
+    for q, x in asked:
+        want.update((q, v, round(float(np.dot(x, y)), 9)) for v, y in rows if v != q and len(x) == len(y))
+    assert got == want
+
+
 @pytest.mark.parametrize("symbols", [1, 2, 4, 30])
 def test_suffix_arrays(symbols):
     for length in (1, 3, 40):
