@@ -36,6 +36,8 @@ def main() -> None:
         .config(map=RECOMMENDED)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.retainedStages", "1000000")  # shuffle_bytes sums over all of them
+        .config("spark.ui.retainedJobs", "1000000")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

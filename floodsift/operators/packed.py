@@ -116,8 +116,9 @@ class Packed:
     @staticmethod
     def measure(table: DataFrame, columns: Sequence[str], weight: str | None = None) -> Packed:
         table = settle(table)
-        values = sum((F.size(F.col(c)["values"]) for c in columns), F.lit(0))
-        size = sum((packed_bytes(F.col(c)) for c in columns), F.lit(0))
+        zero = F.lit(0)
+        values = sum((F.coalesce(F.size(F.col(c)["values"]), zero) for c in columns), zero)
+        size = sum((F.coalesce(packed_bytes(F.col(c)), zero) for c in columns), zero)
         found = table.agg(
             F.sum(values).alias("values"),
             F.sum(size).alias("bytes"),

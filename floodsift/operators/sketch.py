@@ -11,7 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from floodsift.functions.hashing import SketchShape, key_residues, row_buckets, wrap_counter
+from floodsift.functions.hashing import DIMENSIONS, SketchShape, key_residues, row_buckets, wrap_counter
+from floodsift.operators.lookup import attach_in_place
+from floodsift.operators.packed import Packed, pack, read
 
 
 def packet_residues() -> dict[int, Column]:
@@ -103,12 +105,30 @@ def hash_bucket_counts(keys: DataFrame, residue: Column, row: int, shape: Sketch
     return keys.groupBy(buckets.alias("bucket")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def hot_residues(windowed: DataFrame, shape: SketchShape, above: int) -> Packed:
+    """One row per link and window with, for each dimension, the residues whose estimate exceeds
+    ``above`` and the estimates, packed by residue."""
+    group = ["link_id", "w", "dim"]
+    estimates = estimate_own(residue_counts(windowed, ["link_id", "w"]), group, shape)
+    packed = pack(estimates.where(F.col("estimate") > above), group, "residue", "estimate")
+    columns = [F.max(F.when(F.col("dim") == dim, F.col("packed"))).alias(name) for dim, name in DIMENSIONS.items()]
+    return Packed.measure(packed.groupBy("link_id", "w").agg(*columns), list(DIMENSIONS.values()))
+
+
 def heavy_hitters(
-    windowed: DataFrame, shape: SketchShape, above: int, top: int
+    windowed: DataFrame, shape: SketchShape, above: int, top: int, broadcast_bytes: int = 256 << 20
 ) -> DataFrame:
-    """Keys per link, window and dimension whose estimate exceeds ``above``, ranked."""
+    """Keys per link, window and dimension whose estimate exceeds ``above``, ranked.
+
+    Estimates are taken by residue first. Packets then meet the hot residues of their window where
+    they are read, and only keys with such a residue are grouped. Hot residues beyond
+    ``broadcast_bytes`` are met in parts, and ``windowed`` is read once for each.
+    """
     group = ["link_id", "w", "dim"]
+    hot = hot_residues(windowed, shape, above)
     residues = packet_residues()
+    met = attach_in_place(windowed, hot.table, ["link_id", "w"], -(-hot.bytes // broadcast_bytes))
+    found = read(met, {f"_est_{name}": (name, residues[dim]) for dim, name in DIMENSIONS.items()})
     pairs = {
         1: (F.col("source_ip"), F.col("destination_ip")),
         2: (F.col("destination_port").cast("bigint"), F.col("destination_ip")),
@@ -117,25 +137,16 @@ def heavy_hitters(
     keyed = F.array(
         *[
             F.struct(
-                F.lit(dim).alias("dim"),
-                residues[dim].alias("residue"),
-                low.alias("key_low"),
-                high.alias("key_high"),
-            )
+                F.lit(dim).alias("dim"), low.alias("key_low"), high.alias("key_high"),
+                F.col(f"_est_{DIMENSIONS[dim]}").alias("estimate"),
+            )
             for dim, (low, high) in pairs.items()
         ]
     )
-    keys = (
-        windowed.select("link_id", "w", F.inline(keyed))
-        .groupBy(*group, "residue", "key_low", "key_high")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
-    counted = keys.groupBy(*group, "residue").agg(F.sum("cnt").alias("cnt"))
-    estimates = estimate_own(counted, group, shape).where(F.col("estimate") > above)
+    keys = found.select("link_id", "w", F.inline(keyed)).where(F.col("estimate").isNotNull()).distinct()
     order = Window.partitionBy(*group).orderBy(F.desc("estimate"), "key_low", "key_high")
     return (
-        keys.join(estimates, [*group, "residue"])
-        .withColumn("rank", F.row_number().over(order))
+        keys.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= top)
         .select(*group, "rank", "key_low", "key_high", "estimate")
     )

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from floodsift.functions.hashing import SketchShape
-from floodsift.operators import captures, controller, decode, packed as packed_rows, sketch
+from floodsift.operators import captures, controller, decode, packed as packed_rows, sketch, volume
 from floodsift.operators.controller import FilterSettings
 from floodsift.plans import inputs
 from floodsift.sources.traffic import generate_traffic, scenario_flows
@@ -226,3 +226,15 @@ def test_packed_values_are_read_by_position(spark):
     assert {(r.g, r.p): r.got for r in found.collect()} == {k: held.get(k) for k in asked}
     measured = packed_rows.Packed.measure(packed, ["packed"])
     assert measured.values == len(table) and measured.bytes > 8 * len(table)
+
+
+@pytest.mark.parametrize("limit", [256 << 20, 2000])
+def test_heavy_hitters_group_hot_keys_only(spark, sf_dir, limit):
+    packets = inputs.packets(spark, sf_dir)
+    windowed = volume.with_window(packets, volume.link_anchors(packets), inputs.SETTINGS.window_us)
+    shape = SketchShape(depth=3, width=64)
+    got = sketch.heavy_hitters(windowed, shape, 2, 3, limit)
+    whole = sketch.heavy_hitters(windowed, shape, 0, 10**6)
+    first = {tuple(r) for r in whole.where("estimate > 2").collect() if r["rank"] <= 3}
+    assert {tuple(r) for r in got.collect()} == first and first
+    assert exchanges(got, "packet_id")[1] == []
