@@ -70,6 +70,16 @@ def _sum_lanes(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: (x + y).bitwiseAND(LANE))
 
 
+def insert(digest: Column, text: Column) -> Column:
+    """Digest lanes of a text that also has the paragraphs of ``text``; null has none."""
+    return _sum_lanes(digest, _digest_lanes(_paragraphs(text)))
+
+
+def delete(digest: Column, text: Column) -> Column:
+    """Digest lanes of a text without the paragraphs of ``text``, which it must have; undoes :func:`insert`."""
+    return F.zip_with(digest, _digest_lanes(_paragraphs(text)), lambda x, y: (x - y).bitwiseAND(LANE))
+
+
 def as_text(digest: Column, sign: Column) -> Column:
     """Eight lower-case hexadecimal digits a lane."""
     lanes = F.concat(digest, F.transform(sign, lambda v: v.bitwiseAND(LANE)))
