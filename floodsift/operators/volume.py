@@ -62,12 +62,13 @@ def thresholds(observed: DataFrame, volume_threshold: int | None) -> DataFrame:
 
 
 def window_state(
-    observed: DataFrame, volume_threshold: int | None, earlier: Lookup | None = None
+    observed: DataFrame, volume_threshold: int | None, earlier: Lookup | None = None, levels: int = 0
 ) -> DataFrame:
     """Add ``over``, ``mode`` (true = QUERY) and ``generation`` to observed windows.
 
     ``earlier`` continues a series: per link the last observed window before
     (``earlier_w``, ``earlier_over``) and the count of those over (``earlier_overs``).
+    ``levels`` is that of :func:`scan`; one will do for a few windows of each link.
     """
     flagged = thresholds(observed, volume_threshold).withColumn(
         "over", F.col("volume") > F.col("threshold")
@@ -78,6 +79,7 @@ def window_state(
         "w",
         sums={"overs": F.col("over").cast("bigint")},
         lasts={"previous": F.struct("w", "over")},
+        levels=levels,
     )
     if earlier is not None:
         scanned = attach(scanned, earlier, ["link_id"], spread="w")

@@ -23,7 +23,7 @@ from floodsift.functions.binary import micros
 from floodsift.operators.controller import ESTIMATES, FilterSettings, judged, packed_estimates
 from floodsift.operators.decode import with_features
 from floodsift.operators.lookup import Lookup, attach, measure
-from floodsift.operators.ordering import spine
+from floodsift.operators.ordering import SPINE_BITS, spine
 from floodsift.operators.sketch import residue_counts
 from floodsift.operators.volume import volumes, window_number, window_state
 from floodsift.schemas import FRAMES
@@ -231,11 +231,15 @@ class RollingFilter:
 
     def _closed_windows(self, open_windows: DataFrame, lines: DataFrame, links: Lookup) -> DataFrame:
         """State of every window between the old and the new line, idle ones too."""
-        moved = lines.where("line > closed_w").select(
-            "link_id", (F.col("closed_w") + 1).alias("_first"), (F.col("line") - F.col("closed_w") - 1).alias("_last")
-        )
-        every = spine(moved, ["link_id"], "_last", "_n").join(moved.drop("_last"), "link_id")
-        every = every.select("link_id", (F.col("_first") + F.col("_n")).alias("w"))
+        span = F.col("line") - F.col("closed_w")
+        most = lines.agg(F.max(span)).first()[0] or 0
+        moved = lines.where(span > 0)
+        if most <= 1 << SPINE_BITS:
+            every = moved.select("link_id", F.explode(F.sequence(F.col("closed_w") + 1, F.col("line"))).alias("w"))
+        else:
+            starts = moved.select("link_id", (F.col("closed_w") + 1).alias("_first"), (span - 1).alias("_last"))
+            every = spine(starts, ["link_id"], "_last", "_n").join(starts, "link_id")
+            every = every.select("link_id", (F.col("_first") + F.col("_n")).alias("w"))
         filled = every.join(open_windows, ["link_id", "w"], "left").fillna(0, ["volume", "packets"])
         earlier = lines.select(
             "link_id",
@@ -245,7 +249,8 @@ class RollingFilter:
             "packets",
         )
         known = Lookup(earlier, "packets", links.rows, links.total)
-        return settle(window_state(filled, self.settings.volume_threshold, known))
+        levels = 1 if most <= 1 << SPINE_BITS else 0
+        return settle(window_state(filled, self.settings.volume_threshold, known, levels))
 
     def _moved_links(self, lines: DataFrame, closed: DataFrame) -> DataFrame:
         news = closed.groupBy("link_id").agg(
