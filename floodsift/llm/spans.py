@@ -80,24 +80,27 @@ def word_runs(text: str, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]
 
 
 def _hashed(batches):
-    """The different hashes of every text, as one array a row."""
+    """The different hashes of every text, as one array a row, and whether any comes more than once."""
     known: dict[str, int] = {}
     for batch in batches:
         if len(known) > KNOWN:
             known = {}
-        first, hashes, total = 0, [], 0
+        first, hashes, again, total = 0, [], [], 0
         for k, text in enumerate(batch.column(1)):
             text = text.as_py()
-            found = [h for h, _, _ in span_hashes(sentences(text))]
-            hashes.append(np.unique(np.concatenate([np.array(found, np.int64), word_runs(text, known)[0]])))
+            found = np.array([h for h, _, _ in span_hashes(sentences(text))], np.int64)
+            of = [found, word_runs(text, known)[0]]
+            single = [np.unique(x) for x in of]
+            hashes.append(np.concatenate(single))
+            again.append(any(len(x) < len(y) for x, y in zip(single, of)))
             total += len(hashes[-1])
             if total > 200_000 or k == batch.num_rows - 1:
                 ends = np.cumsum([0, *map(len, hashes)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(hashes), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(hashes)), lists], names=["key", "spans"]
+                    [batch.column(0).slice(first, len(hashes)), lists, pa.array(again)], names=["key", "spans", "again"]
                 )
-                first, hashes, total = k + 1, [], 0
+                first, hashes, again, total = k + 1, [], [], 0
 
 
 def _kept(text: str, repeated: set[int], known: dict[str, int]) -> tuple[str, int, int]:
@@ -161,12 +164,14 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.coalesce(F.col(id_col), F.lit(last)).cast("bigint").alias("key"),
         F.coalesce("text", F.lit("")).alias("_text"),
     )
-    held = stage(keyed.select("key", "_text").mapInArrow(_hashed, "key long, spans array<long>"))
+    held = stage(keyed.select("key", "_text").mapInArrow(_hashed, "key long, spans array<long>, again boolean"))
     spans = held.select("key", F.explode("spans").alias("h"))
     counts = spans.groupBy("h").agg(F.min("key").alias("first"), F.max("key").alias("latest"))
     repeated = stage(counts.where("first < latest").select("h", "first"))
     hits = spans.join(repeated, "h").where("key > first").select("key", "h")
-    own = hits.groupBy("key").agg(F.collect_set("h").alias("hashes"))
+    # Texts that have no repeated hash, neither with others nor within, are not hashed again.
+    within = held.where("again").select("key", F.lit(None).cast("bigint").alias("h"))
+    own = hits.unionByName(within).groupBy("key").agg(F.collect_set("h").alias("hashes"))
 
     def clean(batches):
         known: dict[str, int] = {}
@@ -174,7 +179,9 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
             if len(known) > KNOWN:
                 known = {}
             rows = [
-                _kept(text, set(hashes or ()), known)
+                (text, sum(not part.isspace() for part in sentences(text) if part), 0)
+                if hashes is None
+                else _kept(text, set(hashes), known)
                 for text, hashes in zip(batch.column("_text").to_pylist(), batch.column("hashes").to_pylist())
             ]
             texts, n, gone = zip(*rows) if rows else ((), (), ())
