@@ -238,6 +238,12 @@ def cms_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.probe(sketches, probes, by, inputs.SHAPE)
 
 
+def cms_hash_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates of all residues of a link from a sketch whose rows have their own hash parameters."""
+    counted = sketch.residue_counts(inputs.packets(spark, sf_dir), ["link_id"])
+    return sketch.estimate_own(counted, ["link_id", "dim"], inputs.PARAMETRISED)
+
+
 def heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.heavy_hitters(
         _windowed(spark, sf_dir), inputs.SHAPE, inputs.HITTERS_ABOVE, inputs.HITTERS_TOP
@@ -439,6 +445,7 @@ QUERIES: dict[str, Query] = {
     "counter_wrap": counter_wrap,
     "cms_build": cms_build,
     "cms_query": cms_query,
+    "cms_hash_params": cms_hash_params,
     "heavy_hitters": heavy_hitters,
     "hashtab_replay": hashtab_replay,
     "cms_replay": cms_replay,

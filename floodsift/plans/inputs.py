@@ -102,6 +102,8 @@ FROM {supplier}
 
 HOUR_US = 3_600_000_000
 SHAPE = SketchShape(depth=8, width=1 << 14)
+# Rows with their own (a, b) instead of the usual ones.
+PARAMETRISED = SketchShape(depth=4, width=300, hash_params=((3, 7), (4099, 11), (65520, 1), (29, 65519)))
 # The window and threshold make modes flip at every scale of the given tables.
 SETTINGS = FilterSettings(window_us=6 * HOUR_US, volume_threshold=None, shape=SHAPE)
 BIN_US = 6 * HOUR_US

@@ -96,7 +96,6 @@ DECODED = (*FRAME_PARTS, ETH, IP, L4, CLASSED)
 
 
 LINK_MEAN = "SELECT link_id, (sum(volume) // count(*))::BIGINT AS threshold FROM vol GROUP BY link_id"
-# Both links over 30 days.
 STREAM_THRESHOLD = f"""SELECT link_id, (SELECT count(*) * {inputs.MEAN_LENGTH} // {inputs.MONTH_WINDOWS}
   FROM events)::BIGINT AS threshold FROM vol GROUP BY link_id"""
 
@@ -526,6 +525,22 @@ FROM packets GROUP BY 1""",
 FROM rowed q LEFT JOIN counters c ON c.link_id = q.link_id AND c.generation = q.generation - 1
   AND c.dim = q.dim AND c.row_no = q.row_no AND c.bucket = q.bucket
 WHERE q.mode GROUP BY q.link_id, q.generation, q.dim, q.residue""",
+    ),
+    "cms_hash_params": _with(
+        PACKETS,
+        f"""keyed AS (
+  SELECT link_id, k.dim, (k.packed % {PRIME})::BIGINT AS residue
+  FROM packets, LATERAL (VALUES
+    (1, source_ip::HUGEINT + destination_ip::HUGEINT * 4294967296),
+    (2, destination_port::HUGEINT + destination_ip::HUGEINT * 65536),
+    (3, source_ip::HUGEINT + total_length::HUGEINT * 4294967296)) AS k(dim, packed))""",
+        f"""rowed AS (
+  SELECT link_id, dim, residue, row_no, ((a * residue + b) % {PRIME}) % {inputs.PARAMETRISED.width} AS bucket
+  FROM keyed, (VALUES {", ".join(f"({row}, {a}::BIGINT, {b}::BIGINT)" for row, (a, b) in enumerate(inputs.PARAMETRISED.rows))})
+    AS r(row_no, a, b))""",
+        "counters AS (SELECT link_id, dim, row_no, bucket, count(*) AS cnt FROM rowed GROUP BY ALL)",
+        final="""SELECT link_id, dim, residue, min(cnt) AS estimate
+FROM (SELECT DISTINCT * FROM rowed) JOIN counters USING (link_id, dim, row_no, bucket) GROUP BY link_id, dim, residue""",
     ),
     "heavy_hitters": _with(
         *PACKET_WINDOWS,
