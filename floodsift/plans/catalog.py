@@ -369,10 +369,13 @@ def expand_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams -------------------------------------------------------------------------
 
 
-def _rolled(spark: SparkSession, sf_dir: str, frames: bool = False, delayed: bool = False) -> RollingFilter:
+def _rolled(
+    spark: SparkSession, sf_dir: str, frames: bool = False, delayed: bool = False, **settings: int
+) -> RollingFilter:
     """The packets or frames through the rolling filter in four batches, and all windows closed."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    settings = replace(inputs.SETTINGS, volume_threshold=inputs.stream_threshold(spark, sf_dir))
+    settings = settings or {"volume_threshold": inputs.stream_threshold(spark, sf_dir)}
+    settings = replace(inputs.SETTINGS, **settings)
     rolling = RollingFilter(folder, settings)
     if frames:
         stream = inputs.frame_batches(spark, sf_dir, f"{folder}/in")
@@ -395,8 +398,10 @@ def stream_window_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_idle_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows without packets, which close, reset and rotate like any other."""
-    idle = _rolled(spark, sf_dir).windows(spark).where("packets = 0")
+    """Short windows without packets, which close, reset and rotate like any other."""
+    window = inputs.short_window(spark, sf_dir)
+    rolled = _rolled(spark, sf_dir, window_us=window, volume_threshold=inputs.SHORT_THRESHOLD)
+    idle = rolled.windows(spark).where("packets = 0")
     return idle.select("link_id", "w", "mode", "generation")
 
 

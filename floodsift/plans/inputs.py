@@ -154,6 +154,15 @@ def stream_threshold(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "events").count() * MEAN_LENGTH // MONTH_WINDOWS
 
 
+MONTH_US = 30 * 24 * HOUR_US
+SHORT_THRESHOLD = 200  # bytes of a short window, about two packets
+
+
+def short_window(spark: SparkSession, sf_dir: str) -> int:
+    """A window of about two packets of a link, so that some have none, whatever the scale."""
+    return MONTH_US // max(table(spark, sf_dir, "events").count() // 4, 1)
+
+
 def in_batches(rows: DataFrame, count: int, folder: str) -> DataFrame:
     """``rows`` again as a stream of files; every batch has the files of one value of ``part``.
 

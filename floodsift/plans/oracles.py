@@ -100,7 +100,7 @@ STREAM_THRESHOLD = f"""SELECT link_id, (SELECT count(*) * {inputs.MEAN_LENGTH} /
   FROM events)::BIGINT AS threshold FROM vol GROUP BY link_id"""
 
 
-def _windows(source: str, window_us: int = WINDOW_US, threshold: str = LINK_MEAN) -> str:
+def _windows(source: str, window_us: int | str = WINDOW_US, threshold: str = LINK_MEAN) -> str:
     """From ``source`` (link_id, packet_id, ts, features) to the state of every window."""
     return f"""pw AS (
   SELECT p.*, ({_instant("p.ts")} - a.first_us) // {window_us} AS w
@@ -636,7 +636,11 @@ FROM pw JOIN flagged USING (link_id, w) GROUP BY link_id, w""",
     ),
     "stream_idle_windows": _with(
         PACKETS,
-        _windows("packets", threshold=STREAM_THRESHOLD),
+        _windows(
+            "packets",
+            f"(SELECT {inputs.MONTH_US} // greatest(count(*) // 4, 1) FROM events)",
+            f"SELECT DISTINCT link_id, {inputs.SHORT_THRESHOLD}::BIGINT AS threshold FROM vol",
+        ),
         final="""SELECT link_id, w, mode, generation FROM state
 WHERE (link_id, w) NOT IN (SELECT (link_id, w) FROM pw)""",
     ),
