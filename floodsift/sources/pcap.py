@@ -48,6 +48,8 @@ OFFSET_BITS = 40
 FOUND = pa.schema(
     [
         ("path", pa.string()),
+        ("link_id", pa.string()),
+        ("file", pa.int64()),
         ("packet_id", pa.int64()),
         ("us", pa.int64()),
         ("frame", pa.binary()),
@@ -318,7 +320,8 @@ def _frames(raising: bool):
             for row in batch.to_pylist():
                 records = _reported(row, raising)
                 while rows := list(islice(records, BATCH_ROWS)):
-                    columns = [[row["path"]] * len(rows), *zip(*rows)]
+                    same = ([row[name]] * len(rows) for name in ("path", "link_id", "file"))
+                    columns = [*same, *zip(*rows)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, field.type) for c, field in zip(columns, FOUND)], schema=FOUND
                     )
@@ -349,7 +352,7 @@ def _read(spark: SparkSession, path: str, split_bytes: int, link: Column | None,
             _kinds, "path string, length bigint, whole boolean, first_us bigint"
         )
     )
-    named = files.withColumn("link_id", F.col("path") if link is None else link)
+    named = files.withColumn("link_id", (F.col("path") if link is None else link).cast("string"))
     earlier = Window.partitionBy("link_id").orderBy(F.asc_nulls_first("first_us"), "path")
     numbers = named.select("path", "link_id", (F.row_number().over(earlier) - 1).cast("bigint").alias("file"))
 
@@ -374,10 +377,11 @@ def _read(spark: SparkSession, path: str, split_bytes: int, link: Column | None,
     whole = files.where("whole").select(
         "path", "length", F.col("length").alias("stop"), F.lit(None).cast("bigint").alias("entry")
     )
-    made = placed.unionByName(whole).repartition(tasks, "path", "stop").mapInArrow(
-        _frames(raising), "path string, packet_id bigint, us bigint, frame binary, error string"
+    # Links and numbers are joined to the ranges: frames that were read are neither moved nor broadcast.
+    return placed.unionByName(whole).join(numbers, "path").repartition(tasks, "path", "stop").mapInArrow(
+        _frames(raising),
+        "path string, link_id string, file bigint, packet_id bigint, us bigint, frame binary, error string",
     )
-    return made.join(numbers, "path")
 
 
 def read_captures(

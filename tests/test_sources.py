@@ -56,6 +56,15 @@ def test_ranges_are_exact_even_with_captures_and_zeros_as_payload(spark, tmp_pat
         pcap.read_captures(spark, str(tmp_path), split_bytes=1000)
 
 
+def test_frames_read_are_neither_joined_nor_broadcast(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.pcap").write_bytes(capture_bytes([(n, b"x" * 60) for n in range(5)]))
+    frames = pcap.read_captures(spark, str(tmp_path), link=F.lit("eth0"))
+    plan = frames._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("MapInArrow")]
+    assert sorted((r.packet_id >> pcap.OFFSET_BITS, r.link_id) for r in frames.collect()) == [(0, "eth0")] * 5 + [(1, "eth0")] * 5
+
+
 RECORDS = [(1_700_000_000_000_000 + n, bytes([n]) * (20 + n)) for n in range(5)]
 
 
