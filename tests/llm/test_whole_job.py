@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from floodsift.llm import queries
+from floodsift.llm import queries, simhash
 
 
 def shingles(text):
@@ -43,6 +43,19 @@ def test_near_duplicates_are_those_of_the_exact_similarity(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(least))
 
 
+def test_near_duplicates_have_like_fingerprints_as_well(spark):
+    # Edits spread over a long text leave few shingles of five words, but change few bits.
+    words = " ".join(["common words that come again and again"] * 60).split()
+    other = list(words)
+    other[10::40] = [f"x{k}" for k in range(len(other[10::40]))]
+    texts = [" ".join(words), " ".join(other), "quite another text"]
+    assert len(shingles(texts[0]) & shingles(texts[1])) < 0.8 * len(shingles(texts[0]) | shingles(texts[1]))
+    docs = spark.createDataFrame([(n + 5, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    assert len({r["f0"] for r in simhash.near_duplicates(docs).collect()}) > 1
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(r["doc_id"] for r in got.collect()) == [5, 7]
+
+
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
