@@ -22,19 +22,26 @@ RUN_WORDS = 20  # of a run that does not heed sentences
 CHOICE = 8  # consecutive runs of which one at least is chosen; repeats of RUN_WORDS + CHOICE - 1 words are always found
 KNOWN = 200_000  # words whose hashes are kept
 _WORD = re.compile(r"\S+")
-_END = re.compile(r"(?<=[.!?])(?=\s)|(?<=\n)(?=.)", re.S)
+# The last character of a sentence; that it comes first lets the search skip all other characters.
+_END = re.compile(r"[.!?\n](?:(?<=\n)(?=.)|(?<!\n)(?=\s))", re.S)
 
 
 def sentences(text: str) -> list[str]:
     """Pieces that end after ., ! or ? before white space, or after a line feed; joined they are the text."""
-    return _END.split(text)
+    ends = [m.end() for m in _END.finditer(text)]
+    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])]
 
 
-def span_hashes(parts: list[str]) -> list[tuple[int, int, int]]:
-    """(hash, first piece, last piece) of every run; white space and case do not count, nor do blank pieces."""
+def span_hashes(parts: list[str], met: list[str] | None = None) -> list[tuple[int, int, int]]:
+    """(hash, first piece, last piece) of every run; white space and case do not count, nor do blank pieces.
+
+    The words of all pieces are added to ``met``.
+    """
     real, norms, lengths = [], [], []
     for k, part in enumerate(parts):
         found = part.lower().split()
+        if met is not None:
+            met += found
         if found:
             real.append(k)
             norms.append(" ".join(found))
@@ -51,25 +58,41 @@ def span_hashes(parts: list[str]) -> list[tuple[int, int, int]]:
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
-    return np.lib.stride_tricks.sliding_window_view(x, width).min(axis=1)
+    size = 1
+    while 2 * size <= width:
+        x, size = np.minimum(x[:-size], x[size:]), 2 * size
+    return np.minimum(x[: len(x) - (width - size)], x[width - size :])
+
+
+def _polynomials(h: np.ndarray, width: int) -> np.ndarray:
+    """The polynomial of every ``width`` neighbouring hashes, by those of 1, 2, 4, ... of them."""
+    out, done, run, size = None, 0, h, 1
+    base = 0x9E3779B97F4A7C15
+    while size <= width:
+        if width & size:
+            if out is None:
+                out = run
+            else:  # the longer run comes first
+                out = run[: len(h) - done - size + 1] * np.uint64(pow(base, done, 1 << 64)) + out[size:]
+            done += size
+        if 2 * size <= width:
+            run = run[:-size] * np.uint64(pow(base, size, 1 << 64)) + run[size:]
+        size *= 2
+    return out
 
 
-def word_runs(text: str, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the chosen runs of words, and at which word each starts; case does not count.
+def word_runs(found: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the chosen runs of words in lower case, and at which word each starts.
 
     ``known`` keeps the hashes of words.
     """
-    found = text.lower().split()
     n = len(found) - RUN_WORDS + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for w in found:
-        if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w, 2)
-    h = np.array([known[w] for w in found], np.uint64)
-    x = np.zeros(n, np.uint64)
-    for k in range(RUN_WORDS):
-        x = x * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    for w in set(found).difference(known):
+        known[w] = xxhash.xxh3_64_intdigest(w, 2)
+    h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+    x = _polynomials(h, RUN_WORDS)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     width = min(CHOICE, n)
@@ -88,8 +111,10 @@ def _hashed(batches):
         first, hashes, again, total = 0, [], [], 0
         for k, text in enumerate(batch.column(1)):
             text = text.as_py()
-            found = np.array([h for h, _, _ in span_hashes(sentences(text))], np.int64)
-            of = [found, word_runs(text, known)[0]]
+            # Pieces end at white space, so their words are those of the text.
+            met: list[str] = []
+            found = np.array([h for h, _, _ in span_hashes(sentences(text), met)], np.int64)
+            of = [found, word_runs(met, known)[0]]
             single = [np.unique(x) for x in of]
             hashes.append(np.concatenate(single))
             again.append(any(len(x) < len(y) for x, y in zip(single, of)))
@@ -105,13 +130,13 @@ def _hashed(batches):
 
 def _kept(text: str, repeated: set[int], known: dict[str, int]) -> tuple[str, int, int]:
     parts = sentences(text)
-    seen, gone = set(), set()
-    for h, first, last in span_hashes(parts):
+    seen, gone, met = set(), set(), []
+    for h, first, last in span_hashes(parts, met):
         if h in repeated or h in seen:
             gone.update(range(first, last + 1))
         seen.add(h)
     blank = {k for k, part in enumerate(parts) if not part.strip()}
-    hs, at = word_runs(text, known)
+    hs, at = word_runs(met, known)
     again = len(set(hs.tolist())) < len(hs)
     cut: list[tuple[int, int]] = []
     if again or not repeated.isdisjoint(hs.tolist()):
