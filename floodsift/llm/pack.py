@@ -9,6 +9,7 @@ Documents then look up their place by their rank among those of their length.
 
 from __future__ import annotations
 
+import itertools
 import math
 import os
 import unicodedata
@@ -23,7 +24,9 @@ from floodsift.session import stage
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 800_000  # about 160 MB; all are forgotten when there are more
+CACHED_WORDS = 400_000  # about 80 MB; when there are more, those of recent sampled texts stay
+NOTED = 4  # of so many texts one has its words noted as recent
+TEXTS_AT_ONCE = 256
 SLICE_ROWS = 2_000
 
 
@@ -104,6 +107,8 @@ def _tokenizer(name: str):
 
 
 _WORDS: dict[bytes, bytes] = {}
+_RECENT: set[bytes] = set()
+_TURN = itertools.count()
 
 
 def token_ids(text: str | None, name: str) -> bytes:
@@ -118,11 +123,17 @@ def token_ids(text: str | None, name: str) -> bytes:
         ids = _tokenizer(name).encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
     found = raw.lower().split()
+    if next(_TURN) % NOTED == 0:
+        _RECENT.update(found)
     try:
         return b"".join([_WORDS[w] for w in found])
     except KeyError:
         if len(_WORDS) > CACHED_WORDS:
+            recent = {w: _WORDS[w] for w in _RECENT if w in _WORDS}
             _WORDS.clear()
+            _RECENT.clear()
+            if len(recent) <= CACHED_WORDS // 2:
+                _WORDS.update(recent)
         _learn({w for w in found if w not in _WORDS}, name)
         return b"".join([_WORDS[w] for w in found])
 
@@ -185,14 +196,16 @@ def pieces(
     def cut(batches):
         for batch in batches:
             out = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                coded = token_ids(text, tokenizer) + end
-                for piece, at in enumerate(range(0, len(coded), 4 * capacity)):
-                    part = coded[at : at + 4 * capacity]
-                    out.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part), part))
-                if len(out) >= 8192:
-                    yield made(batch, out)
-                    out = []
+            for first in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                some = batch.slice(first, TEXTS_AT_ONCE)
+                for key, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    coded = token_ids(text, tokenizer) + end
+                    for piece, at in enumerate(range(0, len(coded), 4 * capacity)):
+                        part = coded[at : at + 4 * capacity]
+                        out.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part), part if ids else None))
+                    if len(out) >= 8192:
+                        yield made(batch, out)
+                        out = []
             yield made(batch, out)
 
     def made(batch, out):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from floodsift.llm import queries, simhash
+from floodsift.llm import pack, queries, simhash
 
 
 def shingles(text):
@@ -88,3 +88,24 @@ def test_short_lines_go_as_well(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["text"] for r in queries.op4_line_edit_join(spark, str(tmp_path)).collect()}
     assert got == dict(enumerate(plain_lines(texts)))
+
+
+def test_a_full_cache_of_words_keeps_the_recent_ones(monkeypatch):
+    monkeypatch.setattr(pack, "CACHED_WORDS", 100)
+    tokenizer = pack._tokenizer("word_bpe_49k.json")
+    for n in range(200):
+        text = f"the common words number{n} own{n * 7919}, own{n}x."
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(pack.token_ids(text, "word_bpe_49k.json"), "<u4").tolist() == ids
+        assert len(pack._WORDS) < 120 and (n < 8 or b"common" in pack._RECENT | set(pack._WORDS))
+    pack._WORDS["number0".encode()] = b"old"
+    monkeypatch.setattr(pack, "CACHED_WORDS", 1)
+    pack._RECENT.clear()
+    pack.token_ids("quite", "word_bpe_49k.json")
+    assert b"number0" not in pack._WORDS
+    monkeypatch.setattr(pack, "CACHED_WORDS", 100)
+    pack._WORDS.update({f"w{n}".encode(): b"" for n in range(101)})
+    pack._RECENT.update([b"w7"])
+    pack.token_ids("never met before", "word_bpe_49k.json")
+    assert b"w7" in pack._WORDS and b"w8" not in pack._WORDS
+    pack._WORDS.clear()
