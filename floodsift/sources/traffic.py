@@ -102,12 +102,14 @@ def generate_traffic(
         "chunk", F.explode(F.sequence(zero, F.shiftright(F.col("pps") - 1, CHUNK_BITS)))
     ).repartition(tasks, "link_id", "flow_id", "second", "chunk")
     first = F.col("chunk") * size
+    length = F.lit(20) + _l4_header() + F.col("size")
+    # What all packets of a flow share is made once a chunk: a packet costs four fields and two sums.
+    chunks = chunks.withColumn("total_length", length.cast("bigint")).withColumns(_shared_parts())
     packets = chunks.withColumn(
         "n", F.explode(F.sequence(first, F.least(first + size, F.col("pps")) - 1))
     )
 
     rotated = F.col("sources") > 1
-    l4_header = F.when(F.col("protocol") == PROTOCOLS["TCP"], 20).otherwise(8)
     packets = packets.withColumns(
         {
             "packet_id": F.col("first_packet") + F.col("n"),
@@ -116,7 +118,6 @@ def generate_traffic(
             ),
             "source_ip": F.col("source_ip") + F.col("n") % F.col("sources"),
             "source_mac": F.col("source_mac") + F.when(rotated, F.col("n") % 256).otherwise(zero),
-            "total_length": (F.lit(20) + l4_header + F.col("size")).cast("bigint"),
         }
     )
     return packets.select(
@@ -140,42 +141,51 @@ def _checksum(total: Column) -> Column:
     return F.lit(0xFFFF) - _halves(_halves(total.cast("bigint")))
 
 
-def _frame() -> Column:
-    """Ethernet, IPv4 without options, TCP SYN or UDP, and a constant payload."""
+def _is_tcp() -> Column:
+    return F.col("protocol") == PROTOCOLS["TCP"]
+
+
+def _l4_header() -> Column:
+    return F.when(_is_tcp(), 20).otherwise(8)
+
+
+def _shared_parts() -> dict[str, Column]:
+    """Bytes and sums that packets have in common whose sources alone differ."""
     c = F.col
-    is_tcp = c("protocol") == PROTOCOLS["TCP"]
-    ends = _halves(c("source_ip")) + _halves(c("destination_ip"))
-    ip_sum = F.lit(0x4500 + 1 + (64 << 8)) + c("total_length") + c("protocol") + ends
     segment = c("total_length") - 20
     fill = F.ascii(c("fill"))
     payload = F.expr("size div 2") * (fill * 257) + (c("size") % 2) * (fill * 256)
-    common = ends + c("protocol") + segment + c("source_port") + c("destination_port") + payload
-    udp_sum = _checksum(common + segment)
-    return F.unhex(
-        F.concat(
-            hex_of(c("destination_mac"), 6),
-            hex_of(c("source_mac"), 6),
-            F.lit("0800" "4500"),
-            hex_of(c("total_length"), 2),
-            F.lit("0001" "0000" "40"),
-            hex_of(c("protocol"), 1),
-            hex_of(_checksum(ip_sum), 2),
-            hex_of(c("source_ip"), 4),
-            hex_of(c("destination_ip"), 4),
-            hex_of(c("source_port"), 2),
-            hex_of(c("destination_port"), 2),
-            F.when(
-                is_tcp,
-                F.concat(
-                    F.lit("00000000" "00000000" "5002" "2000"),
-                    hex_of(_checksum(common + 0x5002 + 0x2000), 2),
-                    F.lit("0000"),
-                ),
-            ).otherwise(
-                F.concat(
-                    hex_of(segment, 2), hex_of(F.when(udp_sum == 0, 0xFFFF).otherwise(udp_sum), 2)
-                )
-            ),
-            F.repeat(F.hex(c("fill")), c("size")),
-        )
+    to = _halves(c("destination_ip"))
+    l4_sum = to + c("protocol") + segment + c("source_port") + c("destination_port") + payload
+    start = F.concat(
+        F.lit("0800" "4500"), hex_of(c("total_length"), 2), F.lit("0001" "0000" "40"), hex_of(c("protocol"), 1)
+    )
+    ends = F.concat(
+        hex_of(c("destination_ip"), 4), hex_of(c("source_port"), 2), hex_of(c("destination_port"), 2)
+    )
+    before_sum = F.when(_is_tcp(), F.lit("00000000" "00000000" "5002" "2000")).otherwise(hex_of(segment, 2))
+    after_sum = F.unhex(F.when(_is_tcp(), F.lit("0000")).otherwise(F.lit("")))
+    return {
+        "_to": F.unhex(hex_of(c("destination_mac"), 6)),
+        "_start": F.unhex(start),
+        "_ends": F.unhex(F.concat(ends, before_sum)),
+        "_end": F.concat(after_sum, F.repeat(c("fill"), c("size")).cast("binary")),
+        "_ip_sum": F.lit(0x4500 + 1 + (64 << 8)) + c("total_length") + c("protocol") + to,
+        "_l4_sum": l4_sum + F.when(_is_tcp(), F.lit(0x5002 + 0x2000).cast("bigint")).otherwise(segment),
+    }
+
+
+def _frame() -> Column:
+    """Ethernet, IPv4 without options, TCP SYN or UDP, and a constant payload."""
+    c = F.col
+    source = _halves(c("source_ip"))
+    l4_sum = _checksum(c("_l4_sum") + source)
+    return F.concat(
+        c("_to"),
+        F.unhex(hex_of(c("source_mac"), 6)),
+        c("_start"),
+        F.unhex(F.concat(hex_of(_checksum(c("_ip_sum") + source), 2), hex_of(c("source_ip"), 4))),
+        c("_ends"),
+        F.unhex(hex_of(F.when(~_is_tcp() & (l4_sum == 0), 0xFFFF).otherwise(l4_sum), 2)),
+        c("_end"),
     )
