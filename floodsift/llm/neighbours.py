@@ -39,30 +39,49 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, top:
     at = vectors @ lines[:-1] + lift[:, None] * lines[-1]
     norms = np.maximum(np.sqrt((queries**2).sum(axis=1)), 1e-300)
     spots = (queries / norms[:, None] * top) @ lines[:-1]
-    order = list(np.argsort(at.T, axis=1, kind="stable"))
-    arrays = [line[o] for line, o in zip(at.T, order)]
+    order = np.argsort(at.T, axis=1, kind="stable")
+    arrays = np.take_along_axis(at.T, order, axis=1)
+    kind = np.uint16 if n < 1 << 16 else np.uint32
+    ranks = np.empty((LINES, n), kind)  # of the vectors, on every line
+    np.put_along_axis(ranks, order, np.arange(n, dtype=kind)[None, :], axis=1)
     unit = at.std(axis=0) * FIRST_WIDTH + 1e-12
     enough = min(n, k + 1 + int(spare * n))
+    widths, windows = [unit], {}
+    moved, inside = np.empty((LINES, n), kind), np.empty((LINES, n), bool)
+
+    def hits(q: int, turn: int) -> np.ndarray:
+        """On how many lines each vector is in the query's window of this round."""
+        while len(widths) <= turn:
+            widths.append(widths[-1] * GROWTH)
+        if turn not in windows:
+            edges = [(a.searchsorted(x - w), a.searchsorted(x + w, "right")) for a, x, w in zip(arrays, spots.T, widths[turn])]
+            windows[turn] = [np.array(e, np.int64).T for e in zip(*edges)]
+        low, high = (e[q][:, None] for e in windows[turn])
+        # Ranks are unsigned, so those before the window wrap round to beyond it.
+        np.subtract(ranks, low.astype(kind), out=moved)
+        np.less(moved, (high - low).astype(kind), out=inside)
+        return np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
+
+    turn = 0
     for q in range(len(queries)):
-        low = high = np.array([a.searchsorted(x) for a, x in zip(arrays, spots[q])])
-        hits, width = np.zeros(n, np.int64), unit
-        while True:
-            new_low = np.array([a.searchsorted(x) for a, x in zip(arrays, spots[q] - width)])
-            new_high = np.array([a.searchsorted(x, "right") for a, x in zip(arrays, spots[q] + width)])
-            rows = [o[x:y] for o, x, y in zip(order, new_low, low)]
-            rows += [o[x:y] for o, x, y in zip(order, high, new_high)]
-            hits += np.bincount(np.concatenate(rows), minlength=n)
-            low, high = new_low, new_high
-            found = np.flatnonzero(hits >= COLLISIONS)
-            if len(found) >= enough or (low == 0).all() and (high == n).all():
+        # Windows only widen, so the first round with enough is near that of the query before.
+        found = np.flatnonzero(hits(q, turn) >= COLLISIONS)
+        while len(found) < enough:
+            turn += 1
+            found = np.flatnonzero(hits(q, turn) >= COLLISIONS)
+        while turn and len(found) >= enough:
+            fewer = np.flatnonzero(hits(q, turn - 1) >= COLLISIONS)
+            if len(fewer) < enough:
                 break
-            width = width * GROWTH
+            found, turn = fewer, turn - 1
+        if len(found) > 4 * k:
+            about = vectors[found] @ queries[q]
+            if np.isfinite(about).all():
+                # Far more than the rounding of either summation.
+                slack = 1e-9 * top * norms[q]
+                found = found[about >= -np.partition(-about, 4 * k)[4 * k] - slack]
         # Summed row by row in one order, so that equal vectors have equal scores.
         scores = (vectors[found] * queries[q]).sum(axis=1)
-        if len(found) > 4 * k:
-            part = np.partition(-scores, 4 * k)[4 * k]
-            close = -scores <= part
-            found, scores = found[close], scores[close]
         best = np.lexsort((ids[found], -scores))[: k + 1]
         yield q, found[best], scores[best]
 
