@@ -25,6 +25,7 @@ from floodsift.session import stage
 CAPACITY = 4096
 END_ID = 1
 CACHED_WORDS = 400_000  # about 80 MB; when there are more, those of recent sampled texts stay
+MARKS = b",.!?;:"
 NOTED = 4  # of so many texts one has its words noted as recent
 TEXTS_AT_ONCE = 256
 SLICE_ROWS = 2_000
@@ -125,17 +126,24 @@ def token_ids(text: str | None, name: str) -> bytes:
     found = raw.lower().split()
     if next(_TURN) % NOTED == 0:
         _RECENT.update(found)
-    try:
-        return b"".join([_WORDS[w] for w in found])
-    except KeyError:
+    coded = list(map(_WORDS.get, found))
+    if None in coded:
         if len(_WORDS) > CACHED_WORDS:
             recent = {w: _WORDS[w] for w in _RECENT if w in _WORDS}
             _WORDS.clear()
             _RECENT.clear()
             if len(recent) <= CACHED_WORDS // 2:
                 _WORDS.update(recent)
-        _learn({w for w in found if w not in _WORDS}, name)
-        return b"".join([_WORDS[w] for w in found])
+        new = _learn({w for w, ids in zip(found, coded) if ids is None}, name)
+        coded = [new[w] if ids is None else ids for w, ids in zip(found, coded)]
+    return b"".join(coded)
+
+
+@lru_cache(maxsize=1)
+def _id_bytes(name: str) -> list[bytes]:
+    """Every id of the tokenizer as bytes."""
+    table = np.arange(max(_tokenizer(name).get_vocab().values(), default=-1) + 1, dtype="<u4").tobytes()
+    return [table[at : at + 4] for at in range(0, len(table), 4)]
 
 
 @lru_cache(maxsize=1)
@@ -149,7 +157,7 @@ def _byte_letters() -> dict[int, str]:
 def _coded(words: list[bytes], name: str) -> dict[bytes, bytes]:
     """Ids of words. One of letters only is a single piece for the model, so it needs no splitting."""
     tokenizer, letters, out, others = _tokenizer(name), _byte_letters(), {}, []
-    model = tokenizer.model
+    tokenize, of_id = tokenizer.model.tokenize, _id_bytes(name)
     for w in words:
         if w.isalpha():
             piece = w.decode()
@@ -163,23 +171,27 @@ def _coded(words: list[bytes], name: str) -> dict[bytes, bytes]:
                 others.append(w)
                 continue
             piece = "".join([letters[b] for b in lower.encode()])
-        out[w] = np.array([t.id for t in model.tokenize(piece)], "<u4").tobytes()
+        out[w] = b"".join([of_id[t.id] for t in tokenize(piece)])
     for w, coded in zip(others, tokenizer.encode_batch([w.decode() for w in others], add_special_tokens=False)):
-        out[w] = np.array(coded.ids, "<u4").tobytes()
+        out[w] = b"".join([of_id[i] for i in coded.ids])
     return out
 
 
-def _learn(new: set[bytes], name: str) -> None:
-    """Add words to those known. A mark after a letter is a piece of its own."""
+def _learn(new: set[bytes], name: str) -> dict[bytes, bytes]:
+    """Ids of words, which are added to those known. Marks after a letter are a piece of their own."""
     stems = {}
     for w in new:
-        marked = len(w) > 1 and w[-1:] in b",.!?;:" and 97 <= w[-2] <= 122
-        stems[w] = (w[:-1], w[-1:]) if marked else (w,)
-    ids = _coded(list({p for ps in stems.values() for p in ps if p not in _WORDS}), name)
-    _WORDS.update(ids)
+        stem = w.rstrip(MARKS)
+        marked = len(stem) < len(w) and stem and 97 <= stem[-1] <= 122
+        stems[w] = (stem, w[len(stem) :]) if marked else (w,)
+    out = _coded(list({p for ps in stems.values() for p in ps if p not in _WORDS}), name)
+    _WORDS.update(out)
     for w, ps in stems.items():
         if len(ps) > 1:
-            _WORDS[w] = _WORDS[ps[0]] + _WORDS[ps[1]]
+            _WORDS[w] = out[w] = _WORDS[ps[0]] + _WORDS[ps[1]]
+        elif w not in out:
+            out[w] = _WORDS[w]
+    return out
 
 
 def pieces(
