@@ -15,9 +15,17 @@ SMOOTHING = 0.05
 FIT_ROWS = 60_000  # labelled documents of each language that the model is fitted on, at most about so many
 ROUNDS = 15
 PENALTY = 8.0  # nats a language must gain, times the logarithm of the number of trigrams
+TEXTS_AT_ONCE = 512
 UNKNOWN = "und"
 
 
+def _slices(batches):
+    """Batches of few texts; those that Spark sends may have 10,000 long ones."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            yield batch.slice(first, TEXTS_AT_ONCE)
+
+
 def _trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Cells of a text's byte trigrams and how often each occurs."""
     raw = np.frombuffer((" " + text.lower() + " ").encode(), np.uint8).astype(np.uint32)
@@ -42,7 +50,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.nd
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in _slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 cells, n = _trigrams(text)
                 sums.setdefault(lang, np.zeros(CELLS, np.int64))[cells] += n
@@ -95,9 +103,11 @@ def proportions(text: str, model: np.ndarray) -> tuple[np.ndarray, np.ndarray, f
     return np.array(chosen), share, posterior
 
 
-def predict(docs: DataFrame, langs: list[str], model: np.ndarray, keep: list[str]) -> DataFrame:
+def predict(docs: DataFrame, langs: list[str], model: np.ndarray, keep: list[str], with_text: bool = False) -> DataFrame:
     """The columns ``keep``, lang_pred, score, and languages with their proportions.
 
+    ``with_text`` adds the text, of those that have a letter; it is sent to the workers anyway.
+
     ``lang_pred`` is the language of the largest proportion; ``score`` is that proportion times the
     posterior of the best language. Texts that are null or have no letter are ``und`` with score 0.
     """
@@ -106,11 +116,12 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, keep: list[str
         *keep, F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("_text")
     )
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes)
+    kinds += ", text string" if with_text else ""
     schema = f"{kinds}, lang_pred string, score double, languages array<string>, proportions array<double>"
 
     def run(batches):
         table = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 if text is None or not langs:
@@ -124,11 +135,13 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, keep: list[str
                     [langs[i] for i in chosen[down]],
                     share[down].tolist(),
                 ))
-            made = list(zip(*out)) or [()] * 4
+            made = list(zip(*out))
+            kept = batch.num_columns - (not with_text)
+            names = [*batch.schema.names[:-1], "text"][:kept]
             types = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *[pa.array(c, t) for c, t in zip(made, types)]],
-                names=[*batch.schema.names[:-1], "lang_pred", "score", "languages", "proportions"],
+                [*batch.columns[:kept], *[pa.array(c, t) for c, t in zip(made, types)]],
+                names=[*names, "lang_pred", "score", "languages", "proportions"],
             )
 
     return rows.mapInArrow(run, schema)
@@ -139,8 +152,8 @@ def remainder(by: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % by
 
 
-def identify(docs: DataFrame, keep: list[str], fit_rows: int = FIT_ROWS) -> DataFrame:
+def identify(docs: DataFrame, keep: list[str], fit_rows: int = FIT_ROWS, with_text: bool = False) -> DataFrame:
     """Fit on the documents whose remainder modulo 5 is not 0 and predict all."""
     known = docs.where(remainder(5) != 0).select(F.col("doc_id").alias("key"), "text", "lang")
     langs, model = fit(known, fit_rows)
-    return predict(docs, langs, model, keep)
+    return predict(docs, langs, model, keep, with_text)
