@@ -35,7 +35,8 @@ OWNED = 1 << 18  # anchors that a task owns, about
 CONTEXTS = 4  # different texts around one anchor that are sorted together as they are
 JOINED = 6  # different texts in one suffix array
 HALF = STRINGS // 2  # strings that start so far before an anchor have it in their right part
-CELLS = 1 << 21  # of a matrix of suffix arrays
+CELLS = 1 << 18  # of a matrix of suffix arrays
+CORE = 257  # the symbol for what all strings of a text hold
 NO_ID = (1 << 63) - 1  # of documents without one
 CROWD = 1024  # different texts around one anchor, about, that go to one owner
 SETTLED, SORTED, SPLIT, SPREAD = 0, 1, 2, 3  # of an anchor: its document is known, its texts are sorted, they are split first, or each string goes to an owner of its own
@@ -51,6 +52,19 @@ def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(x[:-rest], x[rest:]) if rest else x
 
 
+def _different(x: np.ndarray) -> np.ndarray:
+    """The different values, sorted."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]][: len(x)]]
+
+
+def _among(x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are among the sorted values."""
+    if not len(values):
+        return np.zeros(len(x), bool)
+    return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
+
+
 def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the anchors of all strings of SPAN bytes."""
     if len(raw) < SPAN:
@@ -117,7 +131,7 @@ class Dealer:
 
 def _count(dealer: Dealer, batch: int, table: pa.Table) -> pa.Table:
     """The anchors of a batch: those of one document, and those of several."""
-    found = [np.unique(h) for _, _, _, h in _documents(table)]
+    found = [_different(h) for _, _, _, h in _documents(table)]
     h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
     rows = []
     for owner, at in _split(dealer.owner(h)):
@@ -128,14 +142,12 @@ def _count(dealer: Dealer, batch: int, table: pa.Table) -> pa.Table:
 
 def _shared(table: pa.Table) -> pa.Table:
     """To every batch, which of its anchors other documents have as well."""
-    sent = [(r["batch"], _array(r["a"], "<u4"), _array(r["b"], "<u4")) for r in table.to_pylist()]
-    values, n = np.unique(np.concatenate([np.unique(np.concatenate([a, b])) for _, a, b in sent]), return_counts=True)
-    several = np.unique(np.concatenate([b for _, _, b in sent]))
-    shared = np.union1d(values[n > 1], several)
+    sent = [(r["batch"], _different(np.concatenate([_array(r["a"], "<u4"), _array(r["b"], "<u4")])), _array(r["b"], "<u4")) for r in table.to_pylist()]
+    values = np.sort(np.concatenate([x for _, x, _ in sent]))
+    again = values[1:][values[1:] == values[:-1]]  # of several batches
+    shared = _different(np.concatenate([again, *[b for _, _, b in sent]]))
     owner = table.column("owner")[0].as_py()
-    return _rows(_PACKED, [
-        (owner, batch, 0, np.intersect1d(np.concatenate([a, b]), shared).tobytes(), None, None, None) for batch, a, b in sent
-    ])
+    return _rows(_PACKED, [(owner, batch, 0, x[_among(x, shared)].tobytes(), None, None, None) for batch, x, _ in sent])
 
 
 class Batch:
@@ -151,11 +163,8 @@ class Batch:
         for d, (key, raw, p, h) in enumerate(_documents(table)):
             self.docs.append((key, raw))
             name = (dealer.owner(h).astype(np.uint64) << np.uint64(32)) | dealer.short(h)
-            if len(wanted):
-                spot = np.minimum(np.searchsorted(wanted, name), len(wanted) - 1)
-                p, h = p[wanted[spot] == name], h[wanted[spot] == name]
-            else:
-                p, h = p[:0], h[:0]
+            told_of = _among(name, wanted)
+            p, h = p[told_of], h[told_of]
             hs.append(h)
             at.append(p)
             of.append(np.full(len(p), d))
@@ -167,8 +176,9 @@ class Batch:
         self.of, self.at = np.concatenate([none, *of]), np.concatenate([none, *at])
         h, text = np.concatenate([np.zeros(0, np.uint64), *hs]), np.array(texts, np.uint64)
         # An anchor with too many texts in this batch alone is not told apart by them.
-        both = np.unique(np.stack([h, text], axis=1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
-        anchor, n = np.unique(both[:, 0], return_counts=True)
+        order = np.lexsort((text, h))
+        new = np.r_[True, (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])][: len(h)]
+        anchor, n = np.unique(h[order][new], return_counts=True)
         many, crowd = anchor[n > CONTEXTS], n[n > CONTEXTS]
         text[np.isin(h, many)] = 0
         order = np.lexsort((text, h))
@@ -199,23 +209,23 @@ class Batch:
         return state, doc
 
     def strings(self, state: np.ndarray):
-        """(document, start, end, anchor, first, single) of the texts to be compared, in order."""
+        """(document, start, end, anchor, place of what all strings of the text hold, its length), in order."""
         for k in np.flatnonzero((state[self.entry] == SORTED) | (state[self.entry] == SPLIT)).tolist():
             d, p = int(self.of[k]), int(self.at[k])
             n, h = len(self.docs[d][1]), int(self.h[self.entry[k]])
             low, high = max(0, p - STRINGS + 1), min(n, p + SPAN)
             if state[self.entry[k]] == SORTED:
-                yield d, low, high, h
+                yield d, low, high, h, p - low, GRAM
                 continue
             # Strings that start HALF or more before the anchor share the text from there to its end;
             # the others share the text from the anchor on. Either is a narrower anchor.
             raw = self.docs[d][1]
             if p >= HALF and low + SPAN <= n:
                 end = min(n, p - HALF + SPAN)
-                yield d, low, end, xxhash.xxh3_64_intdigest(raw[p - HALF : p + GRAM], 3)
+                yield d, low, end, xxhash.xxh3_64_intdigest(raw[p - HALF : p + GRAM], 3), p - HALF - low, HALF + GRAM
             begin = max(0, p - HALF + 1)
             if begin + SPAN <= n:
-                yield d, begin, high, xxhash.xxh3_64_intdigest(raw[p : p - HALF + 1 + SPAN], 4)
+                yield d, begin, high, xxhash.xxh3_64_intdigest(raw[p : p - HALF + 1 + SPAN], 4), p - begin, SPAN - HALF + 1
 
     def spread(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, start and hash of every string around the anchors that are spread."""
@@ -230,19 +240,19 @@ class Batch:
         return np.array(of, np.int64), np.array(at, np.int64), np.array(hs, np.uint64)
 
     def send(self, dealer: Dealer, batch: int, state: np.ndarray) -> pa.Table:
-        least: dict[tuple[int, bytes], int] = {}
-        for d, low, high, h in self.strings(state):
+        least: dict[tuple[int, bytes, int], int] = {}
+        for d, low, high, h, left, core in self.strings(state):
             key, raw = self.docs[d]
-            name = h, raw[low:high]
+            name = h, raw[low:high], (high - low) | left << 8 | core << 16
             least[name] = min(key, least.get(name, NO_ID))
         names = sorted(least)
-        hs = np.array([h for h, _ in names], np.uint64)
+        hs = np.array([name[0] for name in names], np.uint64)
         rows = []
         for owner, s in _split(dealer.owner(hs)):
             mine = names[s]
             rows.append((
                 owner, batch, 2, hs[s].tobytes(), np.array([least[x] for x in mine], "<i8").tobytes(),
-                np.array([len(x[1]) for x in mine], "<i4").tobytes(), b"".join(x[1] for x in mine),
+                np.array([x[2] for x in mine], "<i4").tobytes(), b"".join(x[1] for x in mine),
             ))
         of, _, strings = self.spread(state)
         one, run = np.unique(strings, return_inverse=True)
@@ -282,36 +292,43 @@ def _resolve(table: pa.Table) -> pa.Table:
     return _rows(_PACKED, out)
 
 
-def smallest_documents(texts: list[bytes], anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def smallest_documents(texts: list[bytes], anchor: np.ndarray, doc: np.ndarray, left: np.ndarray, core: np.ndarray) -> np.ndarray:
     """(texts, STRINGS): the smallest document of the string that starts at each place of each text.
 
-    Texts of one anchor are joined and sorted by a suffix array; neighbours that agree in SPAN bytes
-    are one string. Places without a whole string have NO_ID.
+    All strings of a text hold its ``core`` bytes from ``left`` on, which are one symbol here. Texts of one
+    anchor are joined and sorted by a suffix array; neighbours that agree in all symbols of a string are one
+    string. Places without a whole string have NO_ID.
     """
     out = np.full((len(texts), STRINGS), NO_ID)
-    names = sorted(range(len(texts)), key=lambda k: (int(anchor[k]), texts[k]))
+    left, core = left.tolist(), core.tolist()
+    held = [(h, c, t[n : n + c], t) for h, c, t, n in zip(anchor.tolist(), core, texts, left)]
+    names = sorted(range(len(texts)), key=held.__getitem__)
     distinct: list[list[list[int]]] = []  # of an anchor, of a text: the rows
     last = None
     for k in names:
-        if last is None or anchor[k] != anchor[last]:
+        if last is None or held[k][:3] != held[last][:3]:
             distinct.append([[k]])
-        elif texts[k] == texts[last]:
+        elif texts[k] == texts[last] and left[k] == left[last]:
             distinct[-1][-1].append(k)
         else:
             distinct[-1].append([k])
         last = k
-    by_count: dict[int, list[list[list[int]]]] = {}
+    by_count: dict[tuple[int, int], list[list[list[int]]]] = {}
     for group in distinct:
-        by_count.setdefault(len(group), []).append(group)
-    width = SPAN + STRINGS  # of the longest text and a mark after it
-    for count, groups in by_count.items():
+        by_count.setdefault((len(group), core[group[0][0]]), []).append(group)
+    for (count, size), groups in by_count.items():
+        if count == 1:  # all strings of a text that is alone
+            for (rows,) in groups:
+                out[rows, : max(0, len(texts[rows[0]]) - SPAN + 1)] = min(int(doc[k]) for k in rows)
+            continue
         if count > JOINED:
             for group in groups:
                 _count_strings(group, texts, doc, out)
             continue
+        width = 2 * (SPAN - size) + 2  # of the longest text, whose core is one symbol, and a mark after it
         at_once = max(1, CELLS // (count * width))
         for start in range(0, len(groups), at_once):
-            _compare(groups[start : start + at_once], count, width, texts, doc, out)
+            _compare(groups[start : start + at_once], count, width, size, texts, doc, left, out)
     return out
 
 
@@ -336,24 +353,28 @@ def _count_strings(group, texts, doc, out) -> None:
         out[rows] = answer[t]
 
 
-def _compare(groups, count, width, texts, doc, out) -> None:
+def _compare(groups, count, width, core, texts, doc, left, out) -> None:
+    span = SPAN - core + 1  # symbols of a string
     matrix = np.zeros((len(groups), count * width), np.int16)
-    starts, lengths = np.zeros((len(groups), count), np.int64), np.zeros((len(groups), count), np.int64)
+    lengths = np.zeros((len(groups), count), np.int64)
     least = np.empty((len(groups), count), np.int64)
     for g, group in enumerate(groups):
         for t, rows in enumerate(group):
-            raw = np.frombuffer(texts[rows[0]], np.uint8)
-            starts[g, t], lengths[g, t] = t * width, len(raw)
-            matrix[g, t * width : t * width + len(raw)] = raw.astype(np.int16) + 1
+            raw, n, at = np.frombuffer(texts[rows[0]], np.uint8), left[rows[0]], t * width
+            lengths[g, t] = len(raw) - core + 1
+            matrix[g, at : at + n] = raw[:n]
+            matrix[g, at : at + lengths[g, t]] += 1
+            matrix[g, at + n] = CORE
+            matrix[g, at + n + 1 : at + lengths[g, t]] += raw[n + core :]
             least[g, t] = min(int(doc[k]) for k in rows)
     order = suffix_arrays(matrix)
     text, place = order // width, order % width
-    whole = place + SPAN <= np.take_along_axis(lengths, text, axis=1)
+    whole = place + span <= np.take_along_axis(lengths, text, axis=1)
     g, c = np.nonzero(whole)
     begin, text, place = order[g, c], text[g, c], place[g, c]
     if not len(g):
         return
-    windows = np.lib.stride_tricks.sliding_window_view(matrix, SPAN, axis=1)
+    windows = np.lib.stride_tricks.sliding_window_view(matrix, span, axis=1)
     same = np.zeros(len(g), bool)
     for at in range(1, len(g), 1 << 16):
         s = slice(at, min(len(g), at + (1 << 16)))
@@ -390,11 +411,12 @@ def _sort(table: pa.Table) -> pa.Table:
         return _rows(_PACKED, answers)
     texts: list[bytes] = []
     for r in rows:
-        ends = np.cumsum(_array(r["c"], "<i4"))
-        texts += [r["d"][e - n : e] for e, n in zip(ends.tolist(), _array(r["c"], "<i4").tolist())]
+        sizes = _array(r["c"], "<i4") & 255
+        texts += [r["d"][e - n : e] for e, n in zip(np.cumsum(sizes).tolist(), sizes.tolist())]
+    packed = np.concatenate([_array(r["c"], "<i4") for r in rows])
     anchor = np.concatenate([_array(r["a"], "<u8") for r in rows])
     doc = np.concatenate([_array(r["b"], "<i8") for r in rows])
-    found, out, at = smallest_documents(texts, anchor, doc), [], 0
+    found, out, at = smallest_documents(texts, anchor, doc, packed >> 8 & 255, packed >> 16), [], 0
     for r in rows:
         n = len(r["c"]) // 4
         out.append((r["owner"], r["batch"], 2, zlib.compress(found[at : at + n].tobytes(), 1), None, None, None))
@@ -405,43 +427,42 @@ def _sort(table: pa.Table) -> pa.Table:
 def _remove(dealer: Dealer, table: pa.Table, answers: pa.Table, schema: pa.Schema) -> pa.Table:
     batch = Batch(dealer, table, answers)
     state, doc = batch.told(answers)
-    starts = [[] for _ in batch.docs]
-    for k in np.flatnonzero(state[batch.entry] == SETTLED).tolist():
-        d, p = int(batch.of[k]), int(batch.at[k])
-        key, raw = batch.docs[d]
-        if doc[batch.entry[k]] < key:
-            low, high = max(0, p - STRINGS + 1), min(len(raw), p + SPAN)
-            starts[d].append((low, high))
+    keys = np.array([key for key, _ in batch.docs], np.int64)
+    sizes = np.array([len(raw) for _, raw in batch.docs], np.int64)
+    k = np.flatnonzero(state[batch.entry] == SETTLED)
+    k = k[doc[batch.entry[k]] < keys[batch.of[k]]]
+    d, p = batch.of[k], batch.at[k]
+    cuts = [(d, np.maximum(0, p - STRINGS + 1), np.minimum(sizes[d], p + SPAN))]
     of, begin, strings = batch.spread(state)
     if len(strings):
         one, run = np.unique(strings, return_inverse=True)
         by = {r["owner"]: r["a"] for r in answers.to_pylist() if r["step"] == 3}
         smallest = np.concatenate([np.frombuffer(zlib.decompress(by[o]), "<i8") for o, _ in _split(dealer.owner(one))])
-        for k in np.flatnonzero(smallest[run] < np.array([key for key, _ in batch.docs], np.int64)[of]).tolist():
-            starts[of[k]].append((int(begin[k]), int(begin[k]) + SPAN))
+        gone = smallest[run] < keys[of]
+        cuts.append((of[gone], begin[gone], begin[gone] + SPAN))
     if ((state == SORTED) | (state == SPLIT)).any():
-        names: dict[tuple[int, bytes], int] = {}
-        texts = list(batch.strings(state))
-        for d, low, high, h in texts:
-            names[h, batch.docs[d][1][low:high]] = 0
-        order = sorted(names)
+        texts = [
+            (d, low, (h, batch.docs[d][1][low:high], (high - low) | left << 8 | core << 16))
+            for d, low, high, h, left, core in batch.strings(state)
+        ]
+        order = sorted({name for _, _, name in texts})
         names = {x: i for i, x in enumerate(order)}
-        owner = dealer.owner(np.array([h for h, _ in order], np.uint64))
+        owner = dealer.owner(np.array([name[0] for name in order], np.uint64))
         by = {r["owner"]: r["a"] for r in answers.to_pylist() if r["step"] == 2}
         least = np.concatenate([np.zeros((0, STRINGS), np.int64)] + [
             np.frombuffer(zlib.decompress(by[o]), "<i8").reshape(-1, STRINGS) for o, _ in _split(owner)
         ])
-        for d, low, high, h in texts:
-            key, raw = batch.docs[d]
-            for s in np.flatnonzero(least[names[h, raw[low:high]]] < key).tolist():
-                starts[d].append((low + s, low + s + SPAN))
+        of, low = np.array([x[0] for x in texts], np.int64), np.array([x[1] for x in texts], np.int64)
+        k, place = np.nonzero(least[[names[name] for _, _, name in texts]] < keys[of][:, None])
+        cuts.append((of[k], low[k] + place, low[k] + place + SPAN))
+    edge = np.cumsum(sizes + 1) - sizes - 1
+    d, begin, end = (np.concatenate(x) for x in zip(*cuts))
+    changes = np.zeros(int((sizes + 1).sum()), np.int32)
+    np.add.at(changes, edge[d] + begin, 1)
+    np.add.at(changes, edge[d] + end, -1)
     out = []
-    for (key, raw), cut in zip(batch.docs, starts):
-        change = np.zeros(len(raw) + 1, np.int32)
-        if cut:
-            ends = np.array(cut)
-            np.add.at(change, ends[:, 0], 1)
-            np.add.at(change, ends[:, 1], -1)
+    for (key, raw), at in zip(batch.docs, edge.tolist()):
+        change = changes[at : at + len(raw) + 1]
         gone = np.cumsum(change[:-1]) > 0
         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
         spans = int(np.count_nonzero(gone & ~np.r_[False, gone[:-1]])) if len(raw) else 0

@@ -30,3 +30,39 @@ def test_no_owner_has_all_texts_of_an_anchor(monkeypatch):
     texts = [(k, noise() + line + noise()) for k in range(3000)]
     assert in_one_process(texts, 4) == plain_strings(texts)
     assert max(most) < len(texts) / 2
+
+
+def near_copies(seed):
+    rng = np.random.default_rng(seed)
+    word = lambda n: "".join(rng.choice(list("abcdéfgh"), n))
+    base, found = word(1500), []
+    for k in range(60):
+        a = base
+        for at in rng.integers(0, len(base), 12).tolist():
+            a = a[:at] + word(int(rng.integers(0, 3))) + a[at + 1 :]
+        found.append((k, a if k % 3 else a[: 700 + k]))
+    return found
+
+
+def test_what_all_strings_of_a_text_hold_is_sorted_as_one_symbol(monkeypatch):
+    widths, texts, sort = [], [], substrings.suffix_arrays
+    monkeypatch.setattr(substrings, "suffix_arrays", lambda m: widths.append(m.size) or sort(m))
+    smallest = substrings.smallest_documents
+    monkeypatch.setattr(substrings, "smallest_documents", lambda t, *rest: texts.append(sum(map(len, t))) or smallest(t, *rest))
+    docs = near_copies(5)
+    assert in_one_process(docs, 4) == plain_strings(docs)
+    assert 0 < sum(widths) < 0.75 * sum(texts)
+
+
+def test_a_text_that_is_alone_with_its_anchor_is_not_sorted(monkeypatch):
+    raw = bytes(range(40, 116))
+    monkeypatch.setattr(substrings, "suffix_arrays", lambda m: 1 / 0)
+    seen = substrings.smallest_documents([raw, raw], np.array([7, 7], np.uint64), np.array([5, 3]), np.array([26, 26]), np.array([24, 24]))
+    assert (seen == 3).all()
+
+
+def test_places_beyond_the_whole_strings_stay_open():
+    raw = bytes(range(40, 110))
+    seen = substrings.smallest_documents([raw, raw[:60]], np.array([7, 7], np.uint64), np.array([5, 3]), np.array([20, 20]), np.array([24, 24]))
+    assert seen[0].tolist() == [3] * 11 + [5] * 10 + [substrings.NO_ID] * 6
+    assert seen[1].tolist() == [3] * 11 + [substrings.NO_ID] * 16
